@@ -1,0 +1 @@
+"""Every input of this engine is bounded; nothing here streams."""
