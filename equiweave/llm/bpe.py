@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 CACHE_WORDS = 400_000
 SLICE_CHARS = 4 << 20
 # The code points of Unicode's White_Space property.
-WHITE = "\t-\r \x85\xa0  -     　"
+WHITE = "\t-\r \x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def byte_symbols() -> list[str]:
