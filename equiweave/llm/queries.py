@@ -6,17 +6,32 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from equiweave.llm import bpe
+from equiweave.llm import bpe, linededup, minhash, quality
 from equiweave.llm.shared import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(read_table(spark, sf_dir, "documents"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read_table(spark, sf_dir, "documents"), with_ids=False)
 
 
 QUERIES: dict[str, Query] = {
+    "op2_line_dedup": op2_line_dedup,
+    "op6_quality": op6_quality,
+    "op7_minhash": op7_minhash,
     "op8_bpe": op8_bpe,
 }
 
