@@ -26,13 +26,17 @@ come along unchanged.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from itertools import islice
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from equiweave.llm.shared import fresh, materialize, word_count
+from equiweave.llm.shared import WORD_PATTERN, materialize, word_count
 
 WEIGHTS = (1, 2, 3)
 COPIES = 3
@@ -73,23 +77,119 @@ def split_quotas(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> n
     return np.concatenate([split_quotas(left, half, rng), split_quotas(quotas - left, shards - half, rng)])
 
 
-def permuted(place: Column, n: Column, seed: Column) -> Column:
-    """A bijection of 0 .. n - 1: rounds of an unbalanced Feistel network on a * b >= n cells would
-    need cycle walking; an affine map with a multiplier prime to n needs none."""
-    return F.pmod(place * seed + F.floor(n / 2), n)
-
-
 def _multiplier(n: int, rng: np.random.Generator) -> int:
-    """A number below n, near n times the golden ratio's inverse, that has no common divisor with n."""
-    start = max(1, int(n * (0.382 + 0.236 * rng.random())))
-    return next((m for m in range(start, start + n) if np.gcd(m, n) == 1), 1)
+    """A number near n times the golden section that has no common divisor with n."""
+    start = max(1, int(n * (0.6 + 0.05 * rng.random())))
+    return next(m for m in range(start, start + n + 1) if np.gcd(m, n) == 1)
 
 
-def draws(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
-    """docs with added columns: size, source_size, target, and takes: array of (copy, words, block, shard).
+def plan(totals: list[tuple[str | None, int, int]], shard_words: int = SHARD_WORDS) -> pd.DataFrame:
+    """One row for each source of totals (source, size, documents): its target, quotas and shards.
 
-    Returns the added columns' names too, which avoid those of docs.
+    ends: the running sums of the shards' block quotas, so that place p belongs to the shard
+    numbered by how many of them are at most p.
+    """
+    order = sorted(range(len(totals)), key=lambda i: (totals[i][0] is None, totals[i][0] or ""))
+    rng = np.random.default_rng(SEED)
+    goal = targets([(x[0], x[1]) for x in totals])
+    quotas = [round(t) for t in goal]
+    blocks = np.array([-(-q // BLOCK) for q in quotas], dtype=np.int64)
+    shards = max(1, min(-(-sum(quotas) // shard_words), CELLS // max(1, len(totals))))
+    tree = split_quotas(blocks[order], shards, rng) if len(totals) else np.zeros((1, 0), np.int64)
+    ends = np.cumsum(tree, axis=0)
+    rows = []
+    for k, i in enumerate(order):
+        n = int(blocks[i])
+        rows.append(
+            {
+                "sid": k, "source": totals[i][0], "source_size": int(totals[i][1]), "target": goal[i], "quota": int(quotas[i]),
+                "buckets": max(1, -(-int(totals[i][2]) // BUCKET_ROWS)), "blocks": n,
+                "factor": _multiplier(n, rng) if n else 1, "shift": int(rng.integers(0, max(n, 1))), "ends": ends[:, k].tolist(),
+            }
+        )
+    return pd.DataFrame(rows)
+
+
+PLAN_SCHEMA = "sid int, source string, source_size long, target double, quota long, buckets long, blocks long, factor long, shift long, ends array<long>"
+
+
+def _count_at_most(ends: Column, place: Column, steps: int) -> Column:
+    """How many of the ascending ends are at most place, by binary search."""
+    return F.aggregate(
+        F.array(*[F.lit(1 << k) for k in reversed(range(steps))]),
+        F.lit(0),
+        lambda low, step: F.when((low + step <= F.size(ends)) & (F.get(ends, low + step - 1) <= place), low + step).otherwise(low),
+    )
+
+
+def draws(rows: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """rows (doc_id, source, size, tie, any others) with source_size, target and takes added.
+
+    takes: array of struct(copy, words, shard). size: words, long, not null; tie: a hash of the
+    text that orders rows of equal doc_id. The names used here must be free in rows.
+    """
+    spark = rows.sparkSession
+    totals = [tuple(r) for r in rows.groupBy("source").agg(F.sum("size"), F.count("*")).collect()]
+    planned = plan(totals, shard_words)
+    sources = spark.createDataFrame(planned, PLAN_SCHEMA) if len(planned) else spark.createDataFrame([], PLAN_SCHEMA)
+    steps = len(planned["ends"].iloc[0]).bit_length() if len(planned) else 1
+    # At most CELLS numbers in all: a proven bound.
+    sources = F.broadcast(sources.withColumnRenamed("source", "_source"))
+    rows = rows.join(sources, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    rows = rows.withColumn("hash", F.xxhash64(F.lit(SEED), "doc_id", "tie"))
+    rows = rows.withColumn("bucket", F.pmod("hash", F.col("buckets")))
+    sums = rows.groupBy("sid", "bucket").agg(F.sum("size").alias("words"))
+    before = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = materialize(sums.select("sid", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("bucket_start")), "mix-buckets")
+    inside = Window.partitionBy("sid", "bucket").orderBy("hash", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.join(starts, ["sid", "bucket"])
+    rows = rows.withColumn("start", F.col("bucket_start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    whole = F.expr("if(source_size = 0, 0, quota div greatest(source_size, 1))")
+
+    def take(copy: Column) -> Column:
+        words = F.when(copy < whole, F.col("size")).otherwise(F.greatest(F.lit(0), F.least("size", F.col("quota") - whole * F.col("source_size") - F.col("start"))))
+        block = F.floor((copy * F.col("source_size") + F.col("start")) / BLOCK).cast("decimal(19,0)")
+        place = F.pmod(block * F.col("factor").cast("decimal(19,0)") + F.col("shift"), F.greatest(F.col("blocks"), F.lit(1)).cast("decimal(19,0)")).cast("long")
+        return F.struct(copy.cast("int").alias("copy"), words.cast("long").alias("words"), _count_at_most(F.col("ends"), place, steps).alias("shard"))
+
+    takes = F.filter(F.transform(F.sequence(F.lit(0), whole.cast("int")), take), lambda t: t["words"] > 0)
+    rows = rows.withColumn("takes", takes)
+    return rows.drop("sid", "quota", "buckets", "blocks", "factor", "shift", "ends", "hash", "bucket", "bucket_start", "start")
+
+
+def sized(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size and tie of docs."""
+    text = F.col("text").cast("string")
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(text).alias("size"), F.xxhash64(text).alias("tie"))
+
+
+def word_report(docs: DataFrame) -> DataFrame:
+    """doc_id, size, source_size, target and taken of each row of docs."""
+    drawn = draws(materialize(sized(docs), "mix-sizes"))
+    taken = F.aggregate("takes", F.lit(0).cast("long"), lambda total, t: total + t["words"])
+    return drawn.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+
+
+def _first_words(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    word = re.compile(WORD_PATTERN)
+    for texts, counts in batches:
+        yield pd.Series([None if t is None else t[: next(islice(word.finditer(t), int(n) - 1, None)).end()] for t, n in zip(texts, counts, strict=True)], dtype=object)
+
+
+def mix(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """The mix: docs' columns, one row for each copy taken, dealt into shards and shuffled in each.
+
+    The one copy at the end of a source's target holds the first words of its text.
     """
-    spark = docs.sparkSession
-    names = dict(zip(("size", "source_size", "target", "takes"), fresh(docs, "size", "source_size", "target", "takes"), strict=True))
-    raise NotImplementedError
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    text = F.col("row.text").cast("string")
+    packed = packed.select(
+        "row", F.col("row.doc_id").alias("doc_id"), F.col("row.source").cast("string").alias("source"), word_count(text).alias("size"), F.xxhash64(text).alias("tie")
+    )
+    copies = draws(packed, shard_words).select("row", "doc_id", "size", "tie", F.explode("takes").alias("take"))
+    cut = F.col("take.words") < F.col("size")
+    first = F.pandas_udf(_first_words, "string")(F.when(cut, F.col("row.text").cast("string")), F.when(cut, F.col("take.words")))
+    copies = copies.withColumn("cut", first)
+    dealt = copies.repartition(F.col("take.shard")).sortWithinPartitions("take.shard", F.xxhash64(F.lit(SEED + 1), "doc_id", "tie", "take.copy"))
+    columns = [F.coalesce("cut", F.col("row.text").cast("string")).alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns]
+    return dealt.select(*columns)

@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from equiweave.llm import bpe, linededup, minhash, quality
+from equiweave.llm import bpe, linededup, minhash, mixing, quality
 from equiweave.llm.shared import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.word_report(read_table(spark, sf_dir, "documents"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.report(read_table(spark, sf_dir, "documents"))
 
@@ -29,6 +33,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_mixing": op1_mixing,
     "op2_line_dedup": op2_line_dedup,
     "op6_quality": op6_quality,
     "op7_minhash": op7_minhash,
