@@ -39,6 +39,8 @@ THRESHOLD = 0.3
 BUCKETS, DIM, SEEDS = 1 << 15, 64, 4
 PARTS = 6
 HIDDEN = 32
+#: Bytes of the texts pooled at once, so that their rows stay in cache.
+SLICE = 1 << 18
 
 _KIND = np.full(256, 2, dtype=np.uint8)  # 0 blank, 1 letters and digits, 2 signs
 _KIND[[0x20, *range(0x09, 0x0E)]] = 0
@@ -94,7 +96,7 @@ class Model:
 def word_vectors(texts: pa.Array, index: np.ndarray) -> np.ndarray:
     words = index.copy()
     flat, at = utf8(texts)
-    for _, _, part, part_at in slices(flat, at):
+    for _, _, part, part_at in slices(flat, at, SLICE):
         bucket, _, _, tokens_at = tokens(part, part_at)
         near = np.ones(max(len(bucket) - 1, 0), dtype=bool)
         inner = tokens_at[(tokens_at > 0) & (tokens_at < len(bucket))]
@@ -118,15 +120,17 @@ def pooled(flat: np.ndarray, at: np.ndarray, words: np.ndarray, index: np.ndarra
     sizes = np.bincount(cell, minlength=n * PARTS).astype(np.float32)
     if len(bucket):
         begins = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
-        filled = cell[begins]
         after = np.append(bucket[1:], bucket[-1])
         last = np.append(owner[1:] != owner[:-1], True)
-        bound = index[bucket] * index[after]
-        bound[last] = 0
-        sums[filled, :DIM] = np.add.reduceat(words[bucket], begins)
-        sums[filled, DIM : 2 * DIM] = np.add.reduceat(bound, begins)
-        sums[filled, 2 * DIM] = np.add.reduceat(capital.astype(np.float32), begins)
-        sums[filled, 2 * DIM + 1] = np.add.reduceat(sign.astype(np.float32), begins)
+        rows = np.empty((len(bucket), 2 * DIM), dtype=np.float32)
+        rows[:, :DIM] = words[bucket]
+        rows[:, DIM:] = index[bucket] * index[after]
+        rows[last, DIM:] = 0
+        ones = np.ones(int(sizes.max()), dtype=np.float32)
+        for k, a, b in zip(cell[begins].tolist(), begins.tolist(), [*begins[1:].tolist(), len(bucket)], strict=True):
+            np.dot(ones[: b - a], rows[a:b], out=sums[k, : 2 * DIM])  # far faster than reduceat along rows
+        sums[:, 2 * DIM] = np.bincount(cell, capital, n * PARTS)
+        sums[:, 2 * DIM + 1] = np.bincount(cell, sign, n * PARTS)
     sums, sizes = sums.reshape(n, PARTS, width), sizes.reshape(n, PARTS, 1)
     whole = sums.sum(axis=1) / np.maximum(sizes.sum(axis=1), 1)
     parts = np.where(sizes > 0, sums / np.maximum(sizes, 1), whole[:, None, :])
@@ -176,7 +180,7 @@ def fit(texts: pa.Array, y: np.ndarray) -> Model:
     index = index_vectors()
     words = word_vectors(texts, index)
     flat, at = utf8(texts)
-    x = np.concatenate([pooled(part, part_at, words, index) for _, _, part, part_at in slices(flat, at)]).astype(np.float64)
+    x = np.concatenate([pooled(part, part_at, words, index) for _, _, part, part_at in slices(flat, at, SLICE)]).astype(np.float64)
     mean, scale = x.mean(0), x.std(0) + 1e-4
     x = (x - mean) / scale
     last = np.arange(len(y)) % 5 == 4
@@ -189,7 +193,7 @@ def predict(model: Model, texts: pa.Array, index: np.ndarray, words: np.ndarray)
         return np.full(len(texts), model.constant)
     flat, at = utf8(texts)
     out = [np.zeros(0)]
-    for _, _, part, part_at in slices(flat, at):
+    for _, _, part, part_at in slices(flat, at, SLICE):
         x = (pooled(part, part_at, words, index) - model.mean) / model.scale
         out.append(1 / (1 + np.exp(-np.clip(logits(x, model.layers) / model.temperature, -30, 30))))
     return np.concatenate(out)
