@@ -168,7 +168,7 @@ def _without(text: bytes, places: set[int]) -> bytes:
 
 def _cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for texts, places in batches:
-        yield pd.Series([t if p is None else _without(t.encode("utf-8", "surrogatepass"), set(p)).decode("utf-8", "surrogatepass") for t, p in zip(texts, places, strict=True)])
+        yield pd.Series([None if t is None else _without(t.encode("utf-8", "surrogatepass"), set(p)).decode("utf-8", "surrogatepass") for t, p in zip(texts, places, strict=True)])
 
 
 def dedup_lines(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -181,8 +181,10 @@ def dedup_lines(docs: DataFrame) -> tuple[DataFrame, str]:
     keyed = docs.withColumns({doc: F.col("doc_id").cast("long"), th: F.xxhash64(text)})
     gone = removals(keyed.select(F.col(doc).alias("doc"), F.col(th).alias("th"), text.alias("text")))
     gone = gone.select(F.col("doc").alias("_d"), F.col("th").alias("_t"), F.col("places").alias("_p")).select(F.struct("_d", "_t", "_p").alias(cut))
-    out = keyed.join(gone, F.col(doc).eqNullSafe(F.col(f"{cut}._d")) & (F.col(th) == F.col(f"{cut}._t")), "left")
-    columns = [F.when(F.col(cut).isNull(), text).otherwise(F.pandas_udf(_cut, "string")(text, F.col(f"{cut}._p"))).alias("text") if c == "text" else F.col(c) for c in docs.columns]
+    # Texts stream past the removals of their partition; neither side is sorted.
+    out = keyed.join(gone.hint("shuffle_hash"), F.col(doc).eqNullSafe(F.col(f"{cut}._d")) & (F.col(th) == F.col(f"{cut}._t")), "left")
+    left = F.pandas_udf(_cut, "string")(F.when(F.col(cut).isNotNull(), text), F.col(f"{cut}._p"))
+    columns = [F.when(F.col(cut).isNull(), text).otherwise(left).alias("text") if c == "text" else F.col(c) for c in docs.columns]
     return out.select(*columns, F.size(F.col(f"{cut}._p")).alias(cut)), cut
 
 
