@@ -178,7 +178,7 @@ def confirmed_links(docs: DataFrame, groups: DataFrame, percent: int = PERCENT,
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string"))
     return (
-        blocks.join(texts, "node")
+        texts.join(blocks.hint("shuffle_hash"), "node")
         .select("component", "i", "j", "node", "side", "same", "text")
         .groupBy("component", "i", "j")
         .applyInArrow(lambda table: _confirm(table, percent), "a long, b long")
