@@ -27,8 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE_WORDS = 400_000
-SLICE_CHARS = 4 << 20
+from equiweave.llm.shared import release_memory, rows_at_once, small_batches
+
+CACHE_WORDS = 150_000
+SLICE_CHARS = 1 << 20
 # The code points of Unicode's White_Space property.
 WHITE = "\t-\r \x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
@@ -97,14 +99,15 @@ class BatchBpe:
         np.minimum.at(first_use, keys_by_rank % self.width, ranks)
         self.one_by_one = first_use[made_by_rank] < ranks
         self.cache: dict[str, int] = {}
-        self._reset()
+        self.forget()
 
     @classmethod
     def from_file(cls, path: str) -> BatchBpe:
         with open(path, encoding="utf-8") as file:
             return cls(json.load(file))
 
-    def _reset(self) -> None:
+    def forget(self) -> None:
+        """Empty the word cache."""
         self.cache.clear()
         self.flat, self.at = np.zeros(0, np.int64), np.zeros(1, np.int64)
 
@@ -152,30 +155,30 @@ class BatchBpe:
     def _learn(self, words: set[str]) -> None:
         """Add words (runs without white space, or special tokens) to the cache."""
         if len(self.cache) + len(words) > CACHE_WORDS:
-            self._reset()
-        symbols_of: list[bytes] = []
-        pieces_of: list[list[bytes]] = []
-        ordered = sorted(words)
-        for word in ordered:
-            if word in self.special:
-                pieces_of.append([])
-                continue
-            plain = lower_each(word if word.isascii() else unicodedata.normalize("NFC", word))
-            pieces = [p.encode("utf-8", "surrogatepass") for p in self.pieces(plain)]
-            pieces_of.append(pieces)
-            symbols_of += pieces
-        distinct = {p: i for i, p in enumerate(dict.fromkeys(symbols_of))}
-        ids, at = self._merge(list(distinct)) if distinct else (np.zeros(0, np.int64), np.zeros(1, np.int64))
-        parts, sizes = [self.flat], []
-        for word, pieces in zip(ordered, pieces_of, strict=True):
-            own = [ids[at[distinct[p]] : at[distinct[p] + 1]] for p in pieces]
-            if word in self.special:
-                own = [np.array([self.special[word]], dtype=np.int64)]
-            parts += own
-            sizes.append(sum(map(len, own)))
-            self.cache[word] = len(self.cache)
-        self.flat = np.concatenate(parts)
-        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes, dtype=np.int64)])
+            self.forget()
+        plain = [w for w in words if w not in self.special]
+        special = [w for w in words if w in self.special]
+        distinct: dict[str, int] = {}
+        owned: list[int] = []
+        counts: list[int] = []
+        for word in plain:
+            pieces = self.pieces(word.lower() if word.isascii() else lower_each(unicodedata.normalize("NFC", word)))
+            counts.append(len(pieces))
+            for piece in pieces:
+                owned.append(distinct.setdefault(piece, len(distinct)))
+        ids, at = self._merge([p.encode("utf-8", "surrogatepass") for p in distinct]) if distinct else (np.zeros(0, np.int64), np.zeros(1, np.int64))
+        own = np.array(owned, dtype=np.int64)
+        lengths = at[own + 1] - at[own] if len(own) else own
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        flat = ids[np.arange(total) + np.repeat(at[own] - (ends - lengths), lengths)]
+        bounds = np.concatenate([[0], ends])[np.cumsum(counts, dtype=np.int64)] if counts else np.zeros(0, np.int64)
+        marks = np.array([self.special[w] for w in special], dtype=np.int64)
+        first = self.at[-1]
+        self.at = np.concatenate([self.at, first + bounds, first + total + 1 + np.arange(len(marks))])
+        self.flat = np.concatenate([self.flat, flat, marks])
+        known = len(self.cache)
+        self.cache.update(zip([*plain, *special], range(known, known + len(words)), strict=True))
 
     def _words(self, text: str) -> list[str]:
         if any(m in text for m in self.marks):
@@ -199,7 +202,7 @@ class BatchBpe:
             distinct = set(flat)
             if not self.cache.keys() >= distinct:
                 if len(self.cache) + len(distinct) > CACHE_WORDS:
-                    self._reset()
+                    self.forget()
                 self._learn(distinct - self.cache.keys())
             index = np.fromiter(map(self.cache.__getitem__, flat), dtype=np.int64, count=len(flat))
             sizes = self.at[index + 1] - self.at[index]
@@ -224,6 +227,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, text: str = "text", k
     vocabulary: a tokenizers JSON file that every executor can open by this path; by default the
     one of the installed public_tokenizers package.
     """
+    small_batches(docs.sparkSession)
     out = docs.select(*keep, F.col(text).alias("_text"))
     own = out.select(*keep).schema
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own) + ", n_tokens long, " + "ids array<int>, " * with_ids + "ids_sha256 string, decoded_sha256 string"
@@ -234,19 +238,18 @@ def encode(docs: DataFrame, vocabulary: str | None = None, text: str = "text", k
 
             path = public_tokenizers.path("word_bpe_49k.json")
         bpe = _loaded.get(path) or _loaded.setdefault(path, BatchBpe.from_file(path))
-        for batch in batches:
-            step = max(1, min(len(batch), 1000))
-            for k in range(0, len(batch), step):
-                part = batch.slice(k, step)
-                ids = bpe.encode_batch(part.column(len(keep)).to_pylist())
-                small = [x.astype("<u4") for x in ids]
-                columns = [part.column(i) for i in range(len(keep))]
-                columns.append(pa.array([len(x) for x in ids], pa.int64()))
-                if with_ids:
-                    ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(small).astype(np.int32) if small else [], pa.int32())))
-                columns.append(pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in small], pa.string()))
-                columns.append(pa.array([hashlib.sha256(bpe.decode(x).encode("utf-8", "surrogatepass")).hexdigest() for x in ids], pa.string()))
-                yield pa.RecordBatch.from_arrays(columns, [*keep, "n_tokens", *["ids"] * with_ids, "ids_sha256", "decoded_sha256"])
+        for part in rows_at_once(batches, 500):
+            ids = bpe.encode_batch(part.column(len(keep)).to_pylist())
+            small = [x.astype("<u4") for x in ids]
+            columns = [part.column(i) for i in range(len(keep))]
+            columns.append(pa.array([len(x) for x in ids], pa.int64()))
+            if with_ids:
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(small).astype(np.int32) if small else [], pa.int32())))
+            columns.append(pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in small], pa.string()))
+            columns.append(pa.array([hashlib.sha256(bpe.decode(x).encode("utf-8", "surrogatepass")).hexdigest() for x in ids], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, [*keep, "n_tokens", *["ids"] * with_ids, "ids_sha256", "decoded_sha256"])
+        bpe.forget()
+        release_memory()
 
     return out.mapInArrow(run, kind)

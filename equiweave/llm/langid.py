@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from equiweave.llm.shared import lower_ascii, materialize, mix, slices, utf8
+from equiweave.llm.shared import lower_ascii, materialize, mix, slices, small_batches, utf8
 
 SAMPLE = 2_000
 BUCKETS = 1 << 14
@@ -146,6 +146,7 @@ def evidence(pages: DataFrame, model: TextModel) -> DataFrame:
 
 def identify(pages: DataFrame, docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """page_id, lang, probability, text_lang, markup and host of each page; docs (text, lang) are labelled."""
+    small_batches(docs.sparkSession)
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     ids = labelled.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     learnt = labelled.join(F.broadcast(ids), labelled["doc_id"].eqNullSafe(ids["doc_id"])).select("text", "lang").limit(2 * sample).toArrow()

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from equiweave.llm.shared import fresh, materialize
+from equiweave.llm.shared import fresh, materialize, rows_at_once, small_batches
 
 WINDOW, DIVISOR, MIN_LINES, LONG_WORDS = 2, 2, 2, 50
 #: Bits of the filter of repeated chunk hashes (2 MB) and probes for each hash.
@@ -84,7 +84,7 @@ def chunk_table(docs: DataFrame) -> DataFrame:
     """doc, th, place (first line), h1, h2 of each counting chunk of docs (doc, th, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in rows_at_once(batches):
             rows, places, hashes = [], [], []
             for row, text in enumerate(_texts(batch.column(2))):
                 for place, h, _ in _hashed(text):
@@ -121,7 +121,7 @@ def chunk_bytes(docs: DataFrame, words: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
-        for batch in batches:
+        for batch in rows_at_once(batches):
             rows, places, hashes, parts = [], [], [], []
             for row, text in enumerate(_texts(batch.column(2))):
                 own = list(_hashed(text))
@@ -147,6 +147,7 @@ def chunk_bytes(docs: DataFrame, words: np.ndarray) -> DataFrame:
 
 def removals(docs: DataFrame) -> DataFrame:
     """doc, th and places (first lines of the chunks to remove) of the documents that lose lines."""
+    small_batches(docs.sparkSession)
     table = materialize(chunk_table(docs), "lines-chunks")
     again = table.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
     read = chunk_bytes(docs, hash_filter(materialize(again, "lines-again")))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from equiweave.llm.components import components
-from equiweave.llm.shared import fresh, materialize, mix, shingle_sets, slices, utf8
+from equiweave.llm.shared import fresh, materialize, mix, rows_at_once, shingle_sets, slices, small_batches, utf8
 
 SHINGLE_WORDS = 5
 PERCENT = 75
@@ -84,7 +84,7 @@ def fingerprints(docs: DataFrame, rows: int = ROWS, bands: int = BANDS) -> DataF
     """doc_id, n_shingles, d1 and d2 (the set's digest) and keys (empty for an empty set) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in rows_at_once(batches):
             flat, at = utf8(batch.column(1))
             for first, end, part, part_at in slices(flat, at):
                 sets = shingle_sets(part, part_at, SHINGLE_WORDS)
@@ -187,6 +187,7 @@ def confirmed_links(docs: DataFrame, groups: DataFrame, percent: int = PERCENT,
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable) and kept of each row of docs."""
+    small_batches(docs.sparkSession)
     made = materialize(fingerprints(docs), "minhash-fingerprints")
     rows = made.select("doc_id", "n_shingles", "d1", "d2")
     named = made.where("n_shingles > 0 and doc_id is not null")

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from equiweave.llm.shared import WORD_PATTERN, materialize, word_count
+from equiweave.llm.shared import WORD_PATTERN, materialize, small_batches, word_count
 
 WEIGHTS = (1, 2, 3)
 COPIES = 3
@@ -181,6 +181,7 @@ def mix(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
 
     The one copy at the end of a source's target holds the first words of its text.
     """
+    small_batches(docs.sparkSession)
     packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     text = F.col("row.text").cast("string")
     packed = packed.select(

@@ -26,12 +26,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from equiweave.llm.shared import hash_spans, lower_ascii, slices, utf8
+from equiweave.llm.shared import hash_spans, lower_ascii, release_memory, slices, small_batches, utf8
 
 FOLDS = 5
 SAMPLE = 8_000
@@ -212,15 +211,17 @@ def training_sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> D
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """docs with its columns packed as struct `row`, and the score of its text."""
     spark = docs.sparkSession
+    small_batches(spark)
     learnt = training_sample(docs, labels, sample).toArrow()
     model = spark.sparkContext.broadcast(fit(learnt.column(0).combine_chunks(), learnt.column(1).to_numpy()))
 
-    @F.pandas_udf("double")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = model.value
         index, words = index_vectors(), own.words.astype(np.float32)
         for texts in batches:
-            yield pd.Series(predict(own, pa.array(texts, pa.large_string(), from_pandas=True), index, words))
+            yield pa.array(predict(own, texts, index, words))
+        release_memory()
 
     return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), scored(F.col("text").cast("string")).alias("score"))
 

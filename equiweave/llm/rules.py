@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from equiweave.llm.shared import hash_spans, slices, utf8, window_hashes, word_spans
+from equiweave.llm.shared import hash_spans, rows_at_once, slices, small_batches, utf8, window_hashes, word_spans
 
 SAMPLE = 1_000
 WINDOW = 8
@@ -180,13 +180,14 @@ NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 
 def judge(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, the base counts, base_failed and kept of each row of docs."""
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     ids = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = [r[0] or "" for r in rows.join(F.broadcast(ids.distinct()), "doc_id").select("text").limit(sample).collect()]
     order = order_rules(texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in rows_at_once(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), *_verdicts(batch.column(1).fill_null(""), order)], ["doc_id", *NAMES])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -7,6 +7,7 @@ another character, so bytes give the same words as code points do.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -18,7 +19,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Rows of an Arrow batch that holds whole texts.
+BATCH_ROWS = 500
 
 _made: list[str] = []
 
@@ -60,6 +63,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Let Arrow batches hold `rows` rows at most: ten thousand whole texts, the default, can be
+    hundreds of MB on both sides of the pipe. The session keeps the setting."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def fresh(df: DataFrame, *wanted: str) -> list[str]:
     """Names for helper columns that no column of df has, whatever the case."""
     taken, out = {c.lower() for c in df.columns}, []
@@ -77,6 +88,26 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
 
 
+def rows_at_once(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches in pieces, so that what is made for each row stays small; frees memory after the last.
+
+    A worker process serves many tasks one after the other; what one leaves allocated would add to
+    what the next needs.
+    """
+    for batch in batches:
+        for k in range(0, len(batch), rows):
+            yield batch.slice(k, rows)
+    release_memory()
+
+
+def release_memory() -> None:
+    """Give free memory back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 # ---------------------------------------------------------------- byte-level kernels
 
 _SPACE = np.zeros(256, dtype=bool)
