@@ -90,8 +90,8 @@ def or_else(first: Column, *others: Column) -> Column:
 
 def format4(value: Column) -> Column:
     """Four decimals, N/A for null."""
-    return F.coalesce(F.format_string("%.4f", value), F.lit("N/A"))
+    return F.when(value.isNull(), "N/A").otherwise(F.format_string("%.4f", value))
 
 
 def signed3(value: Column) -> Column:
-    return F.coalesce(F.format_string("%+.3f", value), F.lit("N/A"))
+    return F.when(value.isNull(), "N/A").otherwise(F.format_string("%+.3f", value))

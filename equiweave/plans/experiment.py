@@ -79,7 +79,7 @@ def texts(pair: Pair, condition: Condition, found: DataFrame, whole: Counter = c
 
 def vectors(rendered: DataFrame, encode: Encoder) -> DataFrame:
     """role, uri, vec; a text that several entities share is encoded once."""
-    out = []
+    out, rendered = [], rendered.persist()
     for role in ("source", "candidate"):
         mine = rendered.where(F.col("role") == role)
         out.append(mine.join(encode(mine.select("text").distinct(), role), "text").select("role", "uri", "vec"))
@@ -88,15 +88,17 @@ def vectors(rendered: DataFrame, encode: Encoder) -> DataFrame:
 
 def evaluate(pair: Pair, ranked: DataFrame) -> DataFrame:
     """condition, pair and the fourteen metrics: tuned on the validation population, scored on the test population."""
-    refs = pair.refs.withColumn("pair", F.lit(pair.name))
+    refs = pair.refs.withColumn("pair", F.lit(pair.name)).persist()
     known = refs.where("split = 'train'")
     pairs = ranked.sparkSession.createDataFrame([(pair.name, pair.reference_complete)], "pair string, reference_complete boolean")
-    lists = population.judgeable(ranked, refs.where("split <> 'train'"), known, pairs)
-    parts = population.evaluation_slices(population.populations(pair.sources.select(F.lit(pair.name).alias("pair"), F.col("uri").alias("s")), refs))
+    # Each list is read many times below: kept, not made again for every metric.
+    lists = population.judgeable(ranked, refs.where("split <> 'train'"), known, pairs).persist()
+    parts = population.evaluation_slices(population.populations(pair.sources.select(F.lit(pair.name).alias("pair"), F.col("uri").alias("s")), refs)).persist()
     own = {p: population.reranked(population.restrict(lists, parts.where(F.col("part") == p))) for p in ("val", "test")}
+    own = {p: rows.persist() for p, rows in own.items()}
     names = ranked.select("condition", "pair").distinct()
     gold = {p: refs.where(F.col("split") == p).select("pair", "s", "t").join(names, "pair").select("condition", "pair", "s", "t") for p in ("val", "test")}
-    tuned = metrics.tune_threshold(own["val"], gold["val"])
+    tuned = metrics.tune_threshold(own["val"], gold["val"]).persist()
     return metrics.all_metrics(own["test"], gold["test"], metrics.resolve_threshold(tuned, gold["test"].select("condition", "pair").distinct()))
 
 
@@ -108,12 +110,12 @@ def run_pair(pair: Pair, conditions: list[Condition], encode: Encoder, whole: Co
         listed = found.select(F.lit(c.id).alias("condition"), F.lit(pair.name).alias("pair"), "s", "t")
         one = ranking.rerank(listed, vectors(texts(pair, c, found, whole, piece), encode))
         lists = one if lists is None else lists.unionByName(one)
-    return evaluate(pair, lists)
+    return evaluate(pair, lists.persist())
 
 
 def run_baseline(pair: Pair) -> DataFrame:
     """Metrics of the lexical order itself, with its candidate recall."""
-    found = stage_one(pair)
+    found = stage_one(pair).persist()
     ranked = found.select(F.lit(BASELINE).alias("condition"), F.lit(pair.name).alias("pair"), "s", "t", "score", "rank")
     recall = recall_at(found, pair.refs.where("split = 'test'").select("s", "t")).select(F.col("recall").alias("candidate_recall_at_20"))
     return evaluate(pair, ranked).crossJoin(recall)  # one row

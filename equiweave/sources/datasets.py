@@ -41,7 +41,7 @@ def _graphs(spark: SparkSession, source: str, target: str) -> DataFrame:
 def rdf_pair(spark: SparkSession, folder: str, dataset: str, name: str, entity_type: str, split: Split = split_by_row) -> Pair:
     """A folder with source.rdf, target.rdf and reference.rdf."""
     triples = _graphs(spark, f"{folder}/source.rdf", f"{folder}/target.rdf").persist()
-    sources = extract(triples.where("graph_id = 'source'"), entity_type).select("uri")
+    sources = extract(triples.where("graph_id = 'source'"), entity_type).select("uri").persist()
     return Pair(dataset, name, entity_type, triples, sources, split(read_alignment(spark, f"{folder}/reference.rdf")))
 
 
