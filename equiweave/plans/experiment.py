@@ -7,9 +7,12 @@ is reported as a row and the others go on.
 from __future__ import annotations
 
 import logging
+import math
+import zlib
 from collections.abc import Callable
 from datetime import UTC, datetime
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,11 +34,6 @@ Encoder = Callable[[DataFrame, str], DataFrame]
 
 def hashing_encoder(width: int = 256) -> Encoder:
     """A stand-in without a model: signed counts of hashed character trigrams, scaled to unit length."""
-    import math
-    import zlib
-
-    import pandas as pd
-
     def one(text: str) -> list[float]:
         v = [0.0] * width
         for k in range(max(1, len(text) - 2)):

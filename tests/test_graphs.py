@@ -263,14 +263,19 @@ def test_registries_fit_together(spark):
 
 
 def test_a_pair_runs_end_to_end(spark, folder):
-    (pair,) = datasets.load(spark, "D2", str(folder))
-    assert {r.split: r["count"] for r in pair.refs.groupBy("split").count().collect()} == {"val": 2, "test": 8}
-    base = experiment.run_baseline(pair).first()
-    assert base.mrr == 1.0 and base.candidate_recall_at_20 == 1.0
-    wanted = [c for c in conditions.CONDITIONS if c.id in ("C1", "C20")]
-    got = {r.condition: r for r in experiment.run_pair(pair, wanted, experiment.hashing_encoder()).collect()}
-    assert set(got) == {"C1", "C20"} and all(r.hits_at_10 > 0.5 for r in got.values())
-    with pytest.raises(rdf.DataError):
-        datasets.load(spark, "D9")
-    with pytest.raises(rdf.DataError):
-        datasets.with_known(pair, pair.refs.select("ord", "s", "t").limit(1))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        (pair,) = datasets.load(spark, "D2", str(folder))
+        assert {r.split: r["count"] for r in pair.refs.groupBy("split").count().collect()} == {"val": 2, "test": 8}
+        base = experiment.run_baseline(pair).first()
+        assert base.mrr == 1.0 and base.candidate_recall_at_20 == 1.0
+        found = experiment.stage_one(pair)
+        rendered = experiment.texts(pair, conditions.CONDITIONS[0], found)
+        assert rendered.where("role = 'source'").count() == 10 and "left heart" in {r.text for r in rendered.collect()}
+        with pytest.raises(rdf.DataError):
+            datasets.load(spark, "D9")
+        with pytest.raises(rdf.DataError):
+            datasets.with_known(pair, pair.refs.select("ord", "s", "t").limit(1))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
