@@ -150,12 +150,12 @@ def removals(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     table = materialize(chunk_table(docs), "lines-chunks")
     again = table.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-    read = chunk_bytes(docs, hash_filter(materialize(again, "lines-again")))
+    read = chunk_bytes(docs, hash_filter(materialize(again, "lines-again", few=True)))
     order = F.struct(F.col("doc").isNull().alias("last"), "doc", "th", "place")
     groups = read.groupBy("h1", "h2").agg(
         F.count("*").alias("n"), F.min("bytes").alias("low"), F.max("bytes").alias("high"), F.min(order).alias("first")
     )
-    groups = materialize(groups.where("n > 1 and low = high").select("h1", "h2", "first"), "lines-groups")
+    groups = materialize(groups.where("n > 1 and low = high").select("h1", "h2", "first"), "lines-groups", few=True)
     return table.join(groups, ["h1", "h2"]).where(order != F.col("first")).groupBy("doc", "th").agg(F.collect_set("place").alias("places"))
 
 

@@ -157,7 +157,7 @@ def candidate_groups(classes: DataFrame) -> DataFrame:
     """(node, component) of the classes (node, keys) that share band keys with others, directly or not."""
     keyed = classes.select("node", F.explode("keys").alias("key"))
     hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("far")).where("hub != far").select("key", "hub")
-    hubs = materialize(hubs, "minhash-hubs")
+    hubs = materialize(hubs, "minhash-hubs", few=True)
     ties = keyed.join(hubs, "key").where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     return components(ties, "minhash-candidates")
 
@@ -166,7 +166,7 @@ def confirmed_links(docs: DataFrame, groups: DataFrame, percent: int = PERCENT,
     """(a, b): for each candidate group, links that join all its documents of that similarity."""
     sized = groups.groupBy("component").agg(F.count("*").alias("size"))
     blocks = (
-        groups.join(materialize(sized, "minhash-sizes"), "component")
+        groups.join(materialize(sized, "minhash-sizes", few=True), "component")
         .withColumn("n", F.ceil(F.col("size") / block).cast("int"))
         .withColumn("own", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
@@ -192,17 +192,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = made.select("doc_id", "n_shingles", "d1", "d2")
     named = made.where("n_shingles > 0 and doc_id is not null")
     sets = named.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
-    sets = materialize(sets, "minhash-classes")
+    sets = materialize(sets, "minhash-classes", few=True)
     # Rows of one doc_id with other sets are the same document, so their classes are linked.
     shared = named.groupBy("doc_id").agg(F.countDistinct("d1", "d2").alias("n")).where("n > 1").select("doc_id")
     heads = named.join(sets.select(F.col("node").alias("doc_id"), F.col("d1").alias("c1"), F.col("d2").alias("c2")), "doc_id")
     heads = heads.where("d1 = c1 and d2 = c2").dropDuplicates(["doc_id", "d1", "d2"]).select(F.col("doc_id").alias("node"), "keys")
-    groups = materialize(candidate_groups(heads), "minhash-groups")
+    groups = materialize(candidate_groups(heads), "minhash-groups", few=True)
     links = confirmed_links(docs, groups)
     same = named.join(shared, "doc_id").join(sets, ["d1", "d2"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     joined = components(links.unionByName(same), "minhash-links")
     known = sets.join(joined, "node", "left").where("copies > 1 or component is not null")
-    known = materialize(known.select("d1", "d2", F.coalesce("component", "node").alias("found")), "minhash-known")
+    known = materialize(known.select("d1", "d2", F.coalesce("component", "node").alias("found")), "minhash-known", few=True)
     out = rows.join(known, ["d1", "d2"], "left").select(
         "doc_id", "n_shingles",
         F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"),

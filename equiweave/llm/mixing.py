@@ -140,7 +140,7 @@ def draws(rows: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
     rows = rows.withColumn("bucket", F.pmod("hash", F.col("buckets")))
     sums = rows.groupBy("sid", "bucket").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = materialize(sums.select("sid", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("bucket_start")), "mix-buckets")
+    starts = materialize(sums.select("sid", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("bucket_start")), "mix-buckets", few=True)
     inside = Window.partitionBy("sid", "bucket").orderBy("hash", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.join(starts, ["sid", "bucket"])
     rows = rows.withColumn("start", F.col("bucket_start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))

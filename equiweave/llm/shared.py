@@ -43,10 +43,14 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage and outlives lost executors."""
+def materialize(df: DataFrame, tag: str, few: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts lineage and outlives lost executors.
+
+    few: for tables of small rows after a shuffle; two files for each core of the cluster at most.
+    """
     path = scratch_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    out = df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism) if few else df
+    out.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
