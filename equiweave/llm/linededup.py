@@ -1,16 +1,17 @@
 """Line dedup with content-defined chunks of lines.
 
-Each line is hashed; a rolling hash over WINDOW line hashes ends a chunk where it is 0 modulo
-DIVISOR, so the boundaries after an inserted or lost line soon fall in the old places again. A
-chunk has MIN_LINES lines at least, unless the text ends. A line of LONG_WORDS words or more is a
-chunk of its own, since it is a passage by itself.
-
-A chunk counts when it has two lines with a word, or is such a long line. Chunks whose 128-bit hash
-occurs more than once anywhere are read again and compared byte by byte: the smallest and largest
-text of a hash must be equal, else all of that hash stay. Of a repeated chunk the first occurrence
-stays, by doc_id (nulls last), text hash and place; the lines of the others are removed.
-
-What moves: one small row for each counting chunk; the bytes of chunks that a Bloom filter of fixed
+Every MIN_LINES lines with a word that follow each other, and the lines without a word between
+them, are a chunk; it begins and ends where its own lines do, whatever stands around it. A line of
+LONG_WORDS words or more is a chunk besides, since it is a passage by itself. Chunks overlap, so a
+repeated run of lines is repeated chunks from its first word to its last: it is found whole.
+
+Chunks whose 128-bit hash occurs more than once anywhere are read again and compared byte by byte:
+the smallest and largest text of a hash must be equal, else all of that hash stay. Of a repeated
+chunk the first occurrence stays, by doc_id (nulls last), text hash and place; the lines of the
+others are removed. The first occurrence of a line is in no later occurrence of a chunk, so of
+every line one stays.
+
+What moves: one small row for each chunk, about one for each line; the bytes of chunks that a Bloom filter of fixed
 size takes for repeated; and, to apply the removals, each text once. The aggregations are combined
 before the shuffle, so a chunk that a third of all documents have is one row for each task.
 
@@ -32,35 +33,26 @@ from pyspark.sql import functions as F
 
 from equiweave.llm.shared import fresh, materialize, rows_at_once, small_batches
 
-WINDOW, DIVISOR, MIN_LINES, LONG_WORDS = 2, 2, 2, 50
+MIN_LINES, LONG_WORDS = 2, 50
 #: Bits of the filter of repeated chunk hashes (2 MB) and probes for each hash.
 FILTER_BITS, PROBES = 1 << 24, 3
-_ROLL = 0x9E3779B97F4A7C15
-_MASK = (1 << 64) - 1
 
 
 def chunks(text: bytes) -> Iterator[tuple[int, int, bool]]:
-    """First line, end line and whether it counts, of each chunk of a text."""
-    lines = text.split(b"\n")
-    hashes = [xxhash.xxh3_64_intdigest(x) for x in lines]
-    first, worded, last = 0, 0, len(lines)
+    """First line, end line and whether it counts, of each chunk of a text; all count.
+
+    The first line of a long line's chunk is counted from the end (below 0), so that first lines
+    tell a text's chunks apart. Both are places for a slice.
+    """
+    lines, worded = text.split(b"\n"), []
     for i, line in enumerate(lines):
-        words = len(line.split()) if line else 0
-        if words >= LONG_WORDS:
-            if first < i:
-                yield first, i, worded > 1
-            yield i, i + 1, True
-            first, worded = i + 1, 0
-            continue
-        worded += words > 0
-        rolled = 0
-        for k in range(WINDOW):
-            rolled = (rolled * _ROLL + (hashes[i - k] if i >= k else 0)) & _MASK
-        if i + 1 - first >= MIN_LINES and (rolled ^ (rolled >> 29)) % DIVISOR == 0:
-            yield first, i + 1, worded > 1
-            first, worded = i + 1, 0
-    if first < last:
-        yield first, last, worded > 1
+        words = len(line.split())
+        if words:
+            worded.append(i)
+            if len(worded) >= MIN_LINES:
+                yield worded[-MIN_LINES], i + 1, True
+            if words >= LONG_WORDS:
+                yield i - len(lines), i + 1, True
 
 
 def _texts(column: pa.Array) -> list[bytes]:
@@ -160,11 +152,11 @@ def removals(docs: DataFrame) -> DataFrame:
 
 
 def _without(text: bytes, places: set[int]) -> bytes:
-    lines, keep = text.split(b"\n"), []
+    lines, gone = text.split(b"\n"), set()
     for a, b, _ in chunks(text):
-        if a not in places:
-            keep += lines[a:b]
-    return b"\n".join(keep)
+        if a in places:
+            gone.update(range(a % len(lines), b))
+    return b"\n".join(x for i, x in enumerate(lines) if i not in gone)
 
 
 def _cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -175,7 +167,7 @@ def _cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
 def dedup_lines(docs: DataFrame) -> tuple[DataFrame, str]:
     """docs with repeated chunks cut from text, and the name of an added column: lines removed or not.
 
-    The added column holds the number of chunks that went, null where none did.
+    The added column holds the number of repeated chunks, whose lines went, null where none did.
     """
     doc, th, cut = fresh(docs, "doc", "th", "cut")
     text = F.col("text").cast("string")

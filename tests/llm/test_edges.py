@@ -98,6 +98,27 @@ def test_a_repeated_long_line_and_passage_go_once(spark):
         assert sum("shared passage" in x for x in got[i].text.split("\n")) <= 6
 
 
+@pytest.mark.parametrize("n", range(3, 13))
+def test_repeated_passages_of_short_lines_go_whole(spark, n):
+    rnd, rows, own = random.Random(n), [], {}
+    per = -(-51 // n)
+    for k in range(30):
+        passage = [" ".join(f"p{k}x{j}y{w}" for w in range(per + rnd.randrange(2))) for j in range(n)]
+        for d in (2 * k, 2 * k + 1):
+            around = [[f"own {d} {side} {j} {rnd.random()}" for j in range(rnd.randrange(1, 6))] for side in "ab"]
+            rows.append((d, "\n".join(around[0] + passage + around[1]), "s"))
+            own[d] = "\n".join(around[0] + passage * (d % 2 == 0) + around[1])
+    assert {r.doc_id: r.text for r in linededup.drop_repeated(documents(spark, rows)).collect()} == own
+
+
+def test_a_run_of_long_and_short_lines_goes_whole(spark):
+    line = " ".join(f"long{k}" for k in range(60))
+    runs = [f"{line}\nshort one", f"short two\n\n{line} x", f"{line} y"]
+    rows = [(10 * k + d, f"own {k} {d}\n{run}\nend {k} {d}", "s") for k, run in enumerate(runs) for d in range(2)]
+    got = {r.doc_id: r.text for r in linededup.drop_repeated(documents(spark, rows)).collect()}
+    assert got == {10 * k + d: f"own {k} {d}\nend {k} {d}" if d else f"own {k} {d}\n{run}\nend {k} {d}" for k, run in enumerate(runs) for d in range(2)}
+
+
 def test_clean_documents_are_left_alone(spark):
     rows = [(i, "\n".join(f"only {i} {k} here" for k in range(9)), "s") for i in range(30)]
     assert sorted((r.doc_id, r.text) for r in linededup.drop_repeated(documents(spark, rows)).collect()) == [(i, t) for i, t, _ in rows]
