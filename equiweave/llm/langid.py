@@ -27,7 +27,6 @@ import html as html_text
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -42,7 +41,8 @@ BUCKETS = 1 << 14
 EVIDENCE = 60
 #: Pages that the next wider level counts as, when a narrower one is smoothed towards it.
 STRENGTH = 8.0
-MOST_LANGUAGES = 64
+#: Languages whose likelihoods are looked up at once: bounds memory, not the number of languages.
+COLUMNS = 16
 
 _HIDDEN = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>", re.S | re.I)
 _TAG = re.compile(r"<[^>]*>")
@@ -89,14 +89,14 @@ def trigrams(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(texts: pa.Array, languages: list[str]) -> TextModel:
-    known = sorted(set(languages))[:MOST_LANGUAGES]
+    known = sorted(set(languages))
     counts = np.full((BUCKETS, len(known)), 0.5)
     flat, at = utf8(texts)
+    column = {lang: i for i, lang in enumerate(known)}
     for first, _, part, part_at in slices(flat, at):
         code, ends = trigrams(part, part_at)
         for k in range(len(part_at) - 1):
-            if (lang := languages[first + k]) in known:
-                counts[:, known.index(lang)] += np.bincount(code[ends[k] : ends[k + 1]], minlength=BUCKETS)
+            counts[:, column[languages[first + k]]] += np.bincount(code[ends[k] : ends[k + 1]], minlength=BUCKETS)
     return TextModel(known, np.log(counts / counts.sum(axis=0)).astype(np.float32))
 
 
@@ -109,9 +109,10 @@ def text_posteriors(model: TextModel, texts: list[str]) -> np.ndarray:
         sizes = np.diff(ends)
         filled = np.flatnonzero(sizes)
         if len(filled):
-            sums = np.add.reduceat(model.table[code], ends[filled], axis=0, dtype=np.float64)
             n = sizes[filled][:, None]
-            out[first + filled] = sums / n * np.minimum(n, EVIDENCE)
+            for k in range(0, len(model.languages), COLUMNS):
+                sums = np.add.reduceat(model.table[:, k : k + COLUMNS][code], ends[filled], axis=0, dtype=np.float64)
+                out[first + filled, k : k + COLUMNS] = sums / n * np.minimum(n, EVIDENCE)
     out -= out.max(axis=1, keepdims=True, initial=-np.inf)
     weights = np.exp(out)
     return weights / weights.sum(axis=1, keepdims=True)
@@ -169,26 +170,26 @@ def identify(pages: DataFrame, docs: DataFrame, sample: int = SAMPLE) -> DataFra
         table = sums(key, tag)
         rows = rows.join(table, F.col(key) == F.col(f"{tag}_key")).drop(f"{tag}_key")
 
-    def others(tag: str, i: int) -> Column:
-        """Sum of language i's posteriors over the other pages of the group."""
-        return F.greatest(F.col(tag)[i] - F.col("p")[i], F.lit(0.0))
-
-    def size(tag: str) -> Column:
-        return reduce(Column.__add__, [others(tag, i) for i in known])
-
-    def score(i: int) -> Column:
-        corpus = (F.lit(overall[i]) - F.col("p")[i] + 1.0) / F.lit(float(n - 1 + len(known)))
-        domain = (others("by_domain", i) + STRENGTH * corpus) / (size("by_domain") + STRENGTH)
-        host = (others("by_host", i) + STRENGTH * domain) / (size("by_host") + STRENGTH)
-        logs = F.ln(F.col("p")[i] + 1e-30) + F.ln(host)
+    # Each sum is a column of its own: written out for each language, the plan would grow with their square.
+    for tag in (t for _, t in levels):
+        others = F.zip_with(tag, "p", lambda total, own: F.greatest(total - own, F.lit(0.0)))
+        rows = rows.withColumn(tag, others).withColumn(f"{tag}_size", F.aggregate(tag, F.lit(0.0), lambda total, x: total + x))
+
+    def score(own: Column, i: Column) -> Column:
+        rest = F.get(F.array(*map(F.lit, overall)), i) - own
+        corpus = (rest + 1.0) / F.lit(float(n - 1 + len(known)))
+        domain = (F.get("by_domain", i) + STRENGTH * corpus) / (F.col("by_domain_size") + STRENGTH)
+        host = (F.get("by_host", i) + STRENGTH * domain) / (F.col("by_host_size") + STRENGTH)
+        logs = F.ln(own + 1e-30) + F.ln(host)
         for tag in ("by_suffix", "by_markup"):
-            share = (size(tag) + 1.0) / F.lit(float(n + 1))
-            logs = logs + F.ln((others(tag, i) + STRENGTH * share) / (F.lit(overall[i]) - F.col("p")[i] + STRENGTH))
+            share = (F.col(f"{tag}_size") + 1.0) / F.lit(float(n + 1))
+            logs = logs + F.ln((F.get(tag, i) + STRENGTH * share) / (rest + STRENGTH))
         return logs
 
-    best = F.array_max(F.array(*[F.struct(score(i).alias("s"), F.lit(-i).alias("k")) for i in known]))
+    rows = rows.withColumn("scores", F.transform("p", score))
+    best = F.array_max(F.transform("scores", lambda s, i: F.struct(s.alias("s"), (-i).alias("k"))))
     names = F.array(*map(F.lit, model.languages))
-    rows = rows.withColumn("scores", F.array(*[score(i) for i in known])).withColumn("best", best)
+    rows = rows.withColumn("best", best)
     weight = F.aggregate("scores", F.lit(0.0), lambda total, s: total + F.exp(s - F.col("best.s")))
     first = F.array_position("p", F.array_max("p")).cast("int")
     return rows.select(

@@ -184,6 +184,17 @@ def test_languages_of_odd_pages(spark):
     assert {r.lang for r in langid.identify(pages, docs.limit(0)).collect()} == {None}
 
 
+def test_more_languages_than_64(spark):
+    names = [f"{a}{b}" for a in "abcdefghij" for b in "qrstuvwx"]
+    rnd = random.Random(3)
+    words = {x: ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(12)] for x in names}
+    docs = spark.createDataFrame([(i, " ".join(rnd.choices(words[x], k=30)), x) for i, x in enumerate(names * 2)], "doc_id long, text string, lang string")
+    pages = spark.createDataFrame([(i, f"http://h{i}.org/", "<p>" + " ".join(rnd.choices(words[x], k=30))) for i, x in enumerate(names)], PAGES)
+    got = {r.page_id: r for r in langid.identify(pages, docs).collect()}
+    assert len(names) == 80 and {i: got[i].lang for i in got} == dict(enumerate(names))
+    assert all(r.text_lang == r.lang and 0 < r.probability <= 1 + 1e-9 for r in got.values())
+
+
 # ---------------------------------------------------------------- op 5
 
 
