@@ -111,6 +111,13 @@ def ngram_topk_padded(spark, sf_dir):
     return C.candidates(s, t.orderBy("uri").limit(7), padded=True)
 
 
+@query(_topk_sql("cosine") + """, short AS (SELECT src.uri AS s, count(cand.t) AS n FROM src LEFT JOIN cand ON cand.s = src.uri GROUP BY 1 HAVING count(cand.t) < 20),
+more AS (SELECT short.s, tgt.uri AS t, n + row_number() OVER (PARTITION BY short.s ORDER BY tgt.uri) AS rank FROM short CROSS JOIN tgt LEFT JOIN cand ON cand.s = short.s AND cand.t = tgt.uri WHERE cand.t IS NULL)
+SELECT s, t, round(score, 9) AS score, rank FROM cand UNION ALL SELECT s, t, CAST(0 AS DOUBLE), CAST(rank AS INTEGER) FROM more WHERE rank <= 20""")
+def ngram_topk_padded_all(spark, sf_dir):
+    return C.candidates(*T.parts(spark, sf_dir), padded=True)
+
+
 # ---------------------------------------------------------------- ranked lists and metrics
 
 

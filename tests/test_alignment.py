@@ -16,6 +16,8 @@ from equiweave.operators import population as P
 from equiweave.operators import ranking as R
 from equiweave.operators import reports as Rep
 from equiweave.operators import stats as S
+from equiweave.plans import registry
+from equiweave.plans import tables as T
 
 
 def table(spark, ddl, *rows):
@@ -54,6 +56,17 @@ def test_indexed_join_equals_all_pairs(spark, metric):
     assert plain(C.candidates(s, t, metric=metric, top_k=7, padded=True)) == plain(C.all_pairs(*small, metric=metric, top_k=7))
 
 
+def test_padded_query_ranks_all_targets_and_pads(spark, tmp_path):
+    names = {10: "zzqq", 20: "", 30: "green apple", 40: "apple pie 5", 50: "xylo"}
+    names |= {51: "xylophone", 52: "a xyl"} | {k: f"apple pie {k}" if k > 60 else f"green {k}" if k % 10 < 4 else f"{k}" for k in range(1, 100) if k % 10 and k not in (51, 52)}
+    spark.createDataFrame(list(names.items()), "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    got = sorted(tuple(r) for r in registry.QUERIES["ngram_topk_padded_all"](spark, str(tmp_path)).select("s", "t", "score", "rank").collect())
+    want = sorted((r.s, r.t, round(r.score, 9), r.rank) for r in C.all_pairs(*T.parts(spark, str(tmp_path))).collect())
+    assert got == want and len(got) == 5 * C.TOP_K
+    padding = [sum(s == f"part/{k}" and score == 0 for s, _, score, _ in got) for k in (10, 50, 40)]
+    assert padding == [C.TOP_K, C.TOP_K - 2, 0]
+
+
 def test_bad_parameters_are_refused(spark):
     s = table(spark, LABELS, ("s", "a"))
     with pytest.raises(ValueError):
