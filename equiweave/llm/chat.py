@@ -115,13 +115,21 @@ def example_texts(pieces_: DataFrame, wanted: DataFrame) -> DataFrame:
 _TURN = re.compile(re.escape(OPEN) + "(.*?)" + re.escape(BREAK) + "(.*)" + re.escape(CLOSE), re.S)
 
 
-def read_back(stored: DataFrame) -> DataFrame:
-    """The digests of each conversation, parsed from formatted rows sorted as they were made."""
+def read_back(stored: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """The digests of each conversation, parsed from formatted rows sorted as they were made.
+
+    The loss digests are those of the examples `wanted`, of all examples if it is not given. An
+    example's context must be all pieces before its own.
+    """
     kind = stored.schema["conv_id"].dataType.simpleString()
-    run_ = stored.repartition("conv_id").sortWithinPartitions("conv_id", "seq")
+    # An example is a row before its piece, so that pieces move once and nothing is joined.
+    made = (examples(stored) if wanted is None else wanted).select("conv_id", "seq", F.lit(None).cast("string").alias("piece"), F.col("context_end").alias("start"), "loss_start", "loss_end")
+    null = F.lit(None).cast("long")
+    rows = stored.select("conv_id", "seq", "piece", "start", null.alias("loss_start"), null.alias("loss_end")).unionByName(made)
+    run_ = rows.repartition("conv_id").sortWithinPartitions("conv_id", "seq", F.col("piece").isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, state = object(), None
+        now, state, example = object(), None, None
 
         def close(state: list, out: list) -> None:
             conv, n, turns, chars, loss, total = state
@@ -136,10 +144,16 @@ def read_back(stored: DataFrame) -> DataFrame:
         for batch in batches:
             conv_type, out = batch.column(0).type, []
             for conv, piece, start, a, b in zip(*[batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5)], strict=True):
+                if piece is None:
+                    example = (start, a, b)
+                    continue
+                (context, a, b), example = example or (start, None, None), None
                 if state is None or conv != now:
                     if state is not None:
                         close(state, out)
                     now, state = conv, [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                if a is not None and not context == start == state[5]:
+                    raise ValueError(f"the context of an example of conversation {conv} ends at {context}, its turns at {state[5]}")
                 role, text = _TURN.fullmatch(piece).groups()
                 state[1] += 1
                 state[2].update(f"{unescape_role(role)}\n{unescape(text)}\n".encode("utf-8", "surrogatepass"))

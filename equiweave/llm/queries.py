@@ -54,7 +54,8 @@ def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return chat.read_back(materialize(chat.formatted(turns.unionByName(chat.demo(spark, turns))), "chat-pieces"))
+    stored = materialize(chat.formatted(turns.unionByName(chat.demo(spark, turns))), "chat-pieces")
+    return chat.read_back(stored, chat.examples(stored))
 
 
 QUERIES: dict[str, Query] = {

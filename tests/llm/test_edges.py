@@ -427,3 +427,16 @@ def test_examples_hold_all_turns_before_and_one_target(spark):
     assert sorted(made) == [1, 3, 5]
     for k, r in made.items():
         assert r.text[r.loss_start : r.loss_end] == f"text {k}" and r.text.count(chat.OPEN) == k + 1
+
+
+def test_digests_come_from_the_examples(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(c, k, ("user", "assistant")[k % 2], f"text {k}") for c in (1, None) for k in range(6)]
+    pieces = shared.materialize(chat.formatted(spark.createDataFrame(rows, TURNS)), "chat-digests")
+    made = chat.examples(pieces)
+    assert sorted(map(str, chat.read_back(pieces, made).collect())) == sorted(map(str, chat.read_back(pieces).collect()))
+    assert {r.loss_chars for r in chat.read_back(pieces, made).collect()} == {18}
+    assert {r.loss_chars for r in chat.read_back(pieces, made.where("seq > 1")).collect()} == {12}
+    with pytest.raises(Exception, match="context of an example"):
+        chat.read_back(pieces, made.withColumn("context_end", F.col("context_end") - 1)).collect()
