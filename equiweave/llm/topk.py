@@ -1,20 +1,21 @@
 """Exact top-k inner products without random access.
 
 Candidates are dealt into blocks. In a block each coordinate has a sorted list of the block's
-values. Reading goes down all lists at once, from the top for a query's positive coordinates and
-from the bottom for its negative ones, in rounds that double the depth. What a query has read of a
-candidate, plus for each coordinate not yet read the worst or the best value the rest of the list
-can hold, gives a lower and an upper bound of the score. A query stops when its k-th lower bound
-beats every upper bound outside the k candidates with the highest lower bounds by more than
-nothing; only those k are then scored in full. A query that reaches the end of its lists has exact
-bounds. Both bounds of all pairs of a block are a few matrix products, since what is read at a
-depth does not depend on the query but for its signs.
+values. A query reads its lists from the top for its positive coordinates and from the bottom for
+its negative ones, all to one depth, in rounds that go deeper. What it has read of a candidate is
+the candidate's partial sum, to which a round adds newly read entries only. The rest lies between
+two bounds: by the lists, a coordinate not yet read is between its list's far end and the last
+value read; by length, the unread part is at most |unread query| * |unread candidate|, where the
+candidate's whole length is one more list. The tighter of each gives a lower and an upper bound of
+the score. Candidates whose upper bound is below the k-th highest lower bound cannot qualify; they
+are dropped and later rounds do not touch them. Reading stops when at most RESOLVE candidates are
+left, or at the lists' ends; the scores of those left are then resolved in full, exactly.
 
 The blocks' answers for a query, k each, are merged by rank. Queries are few against all rows, in
 blocks: each pair of a query block and a candidate block is one task group of bounded size.
 
-Scores are exact integers: float32 while every partial sum stays below 2**24, float64 below 2**53,
-else Python integers, which raise OverflowError beyond 64 bits.
+Bounds are float64 with a slack; where partial sums could pass 2**53, every score of the block is
+computed with Python integers instead, which raise OverflowError beyond 64 bits.
 
 Defined cases: vectors that are null or hold a null or non-finite component take no part, neither
 as queries nor as candidates; vectors of other lengths are padded with zeros; an empty vector
@@ -36,8 +37,10 @@ from equiweave.llm.shared import materialize
 K = 5
 SCALE = 256
 BLOCK_ROWS, BLOCK_QUERIES = 4096, 2048
-#: The first round reads this share of every list.
-FIRST_SHARE = 8
+#: Share of every list that has been read after each round.
+DEPTHS = (0.5, 0.625, 0.75, 0.875, 1.0)
+#: Candidates whose scores are worth resolving instead of reading on.
+RESOLVE = 64
 
 
 def quantized(vector: Column) -> Column:
@@ -59,79 +62,74 @@ def matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return out
 
 
-def top_of_block(x: np.ndarray, names: np.ndarray, q: np.ndarray, q_names: np.ndarray, k: int = K, depth: int | None = None) -> list[tuple[int, int, int]]:
-    """(query, candidate, score) of each query's k best candidates in the block.
+class Block:
+    """Sorted lists of a block of candidates x (rows sorted by name)."""
+
+    def __init__(self, x: np.ndarray):
+        self.x, self.n = x.astype(np.float64), len(x)
+        order = np.argsort(x, axis=0, kind="stable")
+        self.rank = np.empty(x.shape, dtype=np.int32)
+        np.put_along_axis(self.rank, order, np.arange(self.n, dtype=np.int32)[:, None], 0)
+        self.lists = np.take_along_axis(self.x, order, 0)
+        self.length = (self.x**2).sum(axis=1)
+
+    def survivors(self, q: np.ndarray, mine: np.ndarray, k: int, resolve: int, depths: tuple[float, ...] = DEPTHS) -> tuple[np.ndarray, float]:
+        """Rows that can still be among the query's k best, and the share of its lists that was read.
+
+        mine: rows that are no candidates of this query.
+        """
+        left = np.flatnonzero(~mine)
+        if len(left) <= max(k, resolve) or not len(q):
+            return left, 0.0
+        n, plus, weight = self.n, q > 0, q * q
+        far = q * np.where(plus, self.lists[0], self.lists[-1])
+        known, seen_length, before = np.zeros(len(left)), np.zeros(len(left)), 0
+        slack = 1e-9 * np.abs(q).sum() * max(np.abs(self.lists[0]).max(), np.abs(self.lists[-1]).max()) + 0.5
+        for share in depths:
+            depth = min(n, max(1, round(share * n)))
+            if depth == n and share < 1:
+                continue
+            place = np.where(plus, n - 1 - self.rank[left], self.rank[left])  # places from the end that is read first
+            x, fresh = self.x[left], (place >= before) & (place < depth)
+            new = np.where(fresh, x, 0)
+            known += new @ q
+            seen_length += (new * new).sum(axis=1)
+            unread = (place >= depth).astype(np.float64)
+            front = q * np.where(plus, self.lists[n - depth], self.lists[depth - 1])
+            by_length = np.sqrt(np.maximum(self.length[left] - seen_length, 0) * (unread @ weight))
+            upper = known + np.minimum(unread @ front, by_length) + slack
+            lower = known + np.maximum(unread @ far, -by_length) - slack
+            stay = upper >= np.partition(lower, len(left) - k)[len(left) - k]
+            left, known, seen_length, before = left[stay], known[stay], seen_length[stay], depth
+            if len(left) <= max(k, resolve):
+                break
+        return left, before / n
+
+
+def top_of_block(x: np.ndarray, names: np.ndarray, q: np.ndarray, q_names: np.ndarray, k: int = K, resolve: int = RESOLVE) -> list[tuple[int, int, int, float]]:
+    """(query, candidate, score, share of the lists read) of each query's k best candidates in the block.
 
     x: candidates sorted by name; q: queries.
     """
-    n, width = x.shape
-    out: list[tuple[int, int, int]] = []
-    if not n or not len(q):
+    out: list[tuple[int, int, int, float]] = []
+    if not len(x) or not len(q):
         return out
-    peak = int(np.abs(x).max(initial=0)) * int(np.abs(q).max(initial=0)) * max(width, 1)
-    kind = np.float32 if peak < 1 << 24 else np.float64 if peak < 1 << 53 else object
-    if kind is object and peak >= 1 << 63:
+    peak = int(np.abs(x).max(initial=0)) * int(np.abs(q).max(initial=0)) * max(x.shape[1], 1)
+    if peak >= 1 << 63:
         raise OverflowError("scores beyond 64 bits")
-    x_, plus, minus = x.astype(kind), np.maximum(q, 0).astype(kind), np.minimum(q, 0).astype(kind)
-    order = np.argsort(x, axis=0, kind="stable")  # the sorted lists, ascending
-    rank = np.empty_like(order)
-    np.put_along_axis(rank, order, np.arange(n)[:, None], axis=0)
-    lists = np.take_along_axis(x, order, axis=0).astype(kind)
-    low, high = lists[0], lists[-1]
-    own = q_names[:, None] == names[None, :]
-    live = np.arange(len(q))
-    depth = depth or max(16, n // FIRST_SHARE)
-    worst = kind(-(1 << 62)) if kind is not object else -(1 << 70)
-    while len(live):
-        depth = min(depth, n)
-        # Frontiers: no unread value of a list is above `top` (read from the top) or below `bottom`.
-        top, bottom = lists[n - depth], lists[depth - 1]
-        seen_top, seen_bottom = (rank >= n - depth), (rank < depth)
-        p, m = plus[live], minus[live]
-        read_top, read_bottom = np.where(seen_top, x_, 0).astype(kind), np.where(seen_bottom, x_, 0).astype(kind)
-        known = p @ read_top.T + m @ read_bottom.T
-        if depth == n:
-            lower = upper = known
-        else:
-            not_top, not_bottom = (~seen_top).astype(kind), (~seen_bottom).astype(kind)
-            lower = known + (p * low) @ not_top.T + (m * high) @ not_bottom.T
-            upper = known + (p * top) @ not_top.T + (m * bottom) @ not_bottom.T
-        # A query meets itself once, or as often as its name is repeated.
-        mine = own[live]
-        lower = np.where(mine, worst, lower)
-        upper = np.where(mine, worst, upper)
-        if n <= k or depth == n:
-            done = np.ones(len(live), dtype=bool)
-        else:
-            best = np.argpartition(lower, n - k, axis=1)[:, n - k :]
-            kth = np.take_along_axis(lower, best, axis=1).min(axis=1)
-            outside = upper.copy()
-            np.put_along_axis(outside, best, worst, axis=1)
-            done = (kth > outside.max(axis=1)) & (kth > worst)
-        for i in np.flatnonzero(done):
-            row = int(live[i])
-            if n <= k:
-                chosen = np.arange(n)
-            elif depth == n:
-                line = lower[i]
-                edge = np.partition(line, n - k)[n - k]
-                over, ties = np.flatnonzero(line > edge), np.flatnonzero(line == edge)
-                chosen = np.concatenate([over, ties[: k - len(over)]])  # names ascend
-            else:
-                chosen = best[i]
-            chosen = chosen[~mine[i][chosen]]
-            for c in chosen:
-                out.append((int(q_names[row]), int(names[c]), int(np.dot(x[c].astype(object), q[row].astype(object)))))
-        live = live[~done]
-        depth *= 2
+    exact = peak >= 1 << 53
+    block = None if exact else Block(x)
+    for row, name in zip(q, q_names, strict=True):
+        mine = names == name
+        left, share = (np.flatnonzero(~mine), 1.0) if exact else block.survivors(row.astype(np.float64), mine, k, resolve)
+        scores = np.array([int(s) for s in x[left].astype(object) @ row.astype(object)], dtype=np.int64) if exact else x[left] @ row
+        best = np.lexsort((names[left], -scores))[:k]
+        out += [(int(name), int(names[left[b]]), int(scores[b]), share) for b in best]
     return out
 
 
-def search(table: DataFrame, queries: Column, k: int = K, block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
-    """query_id, rank (from 1), vec_id and score: the k best candidates of each row where `queries` holds.
-
-    table: vec_id and embedding, arrays of numbers.
-    """
+def answers(table: DataFrame, queries: Column, k: int = K, block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
+    """query_id, vec_id, score and read (the share of the block's lists that was read): each query's k best of every block."""
     name = F.col("vec_id").cast("long")
     rows = table.where(name.isNotNull() & usable(F.col("embedding"))).select(
         name.alias("vec_id"), quantized(F.col("embedding")).alias("v"), F.coalesce(queries, F.lit(False)).alias("asks")
@@ -139,19 +137,28 @@ def search(table: DataFrame, queries: Column, k: int = K, block_rows: int = BLOC
     rows = materialize(rows, "topk-vectors")
     n, asking, width = rows.agg(F.count("*"), F.count_if("asks"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
     blocks, parts = max(1, -(-n // block_rows)), max(1, -(-asking // block_queries))
-    asked = rows.where("asks").groupBy("vec_id").agg(F.max("v").alias("v"))
+    # Names of their own: the two sides come from one table, whose attributes a cogroup can mix up.
+    asked = rows.where("asks").groupBy(F.col("vec_id").alias("query_id")).agg(F.max("v").alias("q"))
     left = rows.select("vec_id", "v", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    right = asked.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    right = asked.select("query_id", "q", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
 
     def answer(candidates: pa.Table, asks: pa.Table) -> pa.Table:
-        names, q_names = candidates["vec_id"].to_numpy(), asks["vec_id"].to_numpy()
-        order = np.argsort(names, kind="stable")
         found = []
-        if len(names) and len(q_names):
-            found = top_of_block(matrix(candidates["v"], width)[order], names[order], matrix(asks["v"], width), q_names, k)
-        columns = [pa.array([f[i] for f in found], pa.int64()) for i in range(3)]
-        return pa.Table.from_arrays(columns, ["query_id", "vec_id", "score"])
+        if candidates.num_rows and asks.num_rows:  # a side without rows may come without columns
+            names, q_names = candidates["vec_id"].to_numpy(), asks["query_id"].to_numpy()
+            order = np.argsort(names, kind="stable")
+            found = top_of_block(matrix(candidates["v"], width)[order], names[order], matrix(asks["q"], width), q_names, k)
+        columns = [pa.array([f[i] for f in found], pa.int64() if i < 3 else pa.float64()) for i in range(4)]
+        return pa.Table.from_arrays(columns, ["query_id", "vec_id", "score", "read"])
+
+    return left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(answer, "query_id long, vec_id long, score long, read double")
 
-    local = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(answer, "query_id long, vec_id long, score long")
+
+def search(table: DataFrame, queries: Column, k: int = K, block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
+    """query_id, rank (from 1), vec_id and score: the k best candidates of each row where `queries` holds.
+
+    table: vec_id and embedding, arrays of numbers.
+    """
+    local = answers(table, queries, k, block_rows, block_queries)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return local.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

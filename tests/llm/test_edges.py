@@ -221,17 +221,48 @@ def test_top_k_with_ties_and_odd_vectors(spark):
     assert topk.search(table.limit(3), F.col("vec_id") % 50 == 0).count() <= 2
 
 
-@pytest.mark.parametrize("scale", [1, 1 << 18, 1 << 20])
+@pytest.mark.parametrize("scale", [1, 1 << 18, 1 << 22])
 def test_bounds_stop_with_exact_scores(scale):
     r = np.random.default_rng(5)
     x = np.floor(r.normal(size=(500, 8)) * 50).astype(np.int64) * scale
     q, names = x[:20], np.arange(500)
     got: dict[int, list] = {}
-    for a, b, s in topk.top_of_block(x, names, q, names[:20], depth=8):
+    for a, b, s, _ in topk.top_of_block(x, names, q, names[:20]):
         got.setdefault(a, []).append((-s, b))
     for i in range(20):
         want = sorted((-int(sum(int(a) * int(b) for a, b in zip(x[i], x[j], strict=True))), j) for j in range(500) if j != i)[:5]
-        assert sorted(got[i])[:5] == want
+        assert got[i] == want
+
+
+def test_outsiders_are_dropped_before_the_lists_end_and_never_wrongly():
+    r = np.random.default_rng(9)
+    x = np.floor(r.normal(size=(3000, 64)) * 32).astype(np.int64)
+    block, nobody = topk.Block(x), np.zeros(3000, bool)
+    for q in x[:30].astype(np.float64):
+        scores = x @ q
+        left, share = block.survivors(q, nobody, 5, 64)
+        assert share < 1 and len(left) <= 64
+        assert set(np.flatnonzero(scores >= np.sort(scores)[-5])) <= set(left)
+        # Each round's bounds hold: whoever is dropped has a lower score than the k-th best.
+        for depths in ((0.25,), (0.5,), (0.5, 0.75), (0.9,)):
+            some, _ = block.survivors(q, nobody, 5, 5, depths)
+            assert set(np.flatnonzero(scores >= np.sort(scores)[-5])) <= set(some)
+
+
+def test_wrong_bounds_would_be_noticed(monkeypatch):
+    r = np.random.default_rng(2)
+    x = np.floor(r.normal(size=(800, 16)) * 40).astype(np.int64)
+    names = np.arange(800)
+    want = topk.top_of_block(x, names, x[:40], names[:40])
+    real = topk.Block.__init__
+
+    def shorter(self, rows):
+        real(self, rows)
+        self.lists = self.lists * 0.2
+        self.length = self.length * 0.05
+
+    monkeypatch.setattr(topk.Block, "__init__", shorter)
+    assert [f[:3] for f in topk.top_of_block(x, names, x[:40], names[:40])] != [f[:3] for f in want]
 
 
 # ---------------------------------------------------------------- op 6
