@@ -3,25 +3,28 @@
 Sizes are words. Sources by code point, null last, weigh 1, 2, 3, 1, ... and share the total; what
 a source's target exceeds COPIES times its size by is shared again by weight.
 
-A source's stream is its documents in hashed order, repeated COPIES times at most; its target, in
-whole words, is a prefix of that stream. The prefix is cut into blocks of BLOCK words. A splitting
-tree divides the block quotas of all sources among the shards: a node with a number of shards
-gives its left half as many blocks as the half's share, drawn multivariate-hypergeometrically from
-the node's quotas, so that every shard gets an exact number of blocks of each source and quotas
-always add up. A seeded bijection permutes a source's blocks; shard j takes the places that the
-tree gave it, which are disjoint. A document copy goes to the shard of the block in which it
-starts, whole, but for the one copy at the end of a target, which gives its first words only.
-Inside a shard, copies are shuffled by hash.
-
-What moves: one row (doc_id, source, size) for each document, twice. A hot source is dealt out by
-hash buckets, whose sums give the buckets' first words. The driver holds one total for each source
-and the tree's quotas: at most CELLS numbers, since the shards get larger when there are many
-sources. Reruns agree: all hashes and draws are seeded, ties of hash go by doc_id, size and text
-hash, and rows alike in all of these are exchangeable.
+A source's documents are hashed into blocks of about BLOCK words (more where there would be over
+MOST_BLOCKS blocks). A seeded bijection permutes the blocks. A target of w whole sizes and a rest
+draws every block w times and then, in permuted order, the blocks that the rest reaches: that is
+the source's exact block quota. A splitting tree divides the quotas of all sources among the
+shards: a node gives its left half the half's share of its draws, drawn multivariate-
+hypergeometrically from the node's quotas. Shard j takes the run of draws that the tree gave it,
+so shards are disjoint, and every draw is in one. What a document gives to the mix is what the
+shards' draws hold of its block, so a draw that the tree loses is a loss of words.
+
+Of the one block that a rest reaches only in part, documents come in hashed order up to the rest.
+The copy at its end comes or stays out whole, whichever is nearer; only where that would miss the
+target by more than TOLERANCE of it, it is cut to its first words. Inside a shard, copies are
+shuffled by hash.
+
+What moves: one small row for each document and each block; the mix itself moves each text twice.
+Running sums over blocks go by groups of blocks, so a hot source is many tasks. The driver holds
+one row for each source, the top of the tree; subtrees are split by the executors. Reruns agree:
+hashes and draws are seeded, and a tree node's draw depends on its place in the tree only.
 
 Defined cases: null text and text without words have size 0 and are never drawn; a null source is
-a source, the last; a null doc_id is a document; an empty table gives an empty mix; other columns
-come along unchanged.
+a source, the last; a null doc_id is a document; rows of equal doc_id, source and text are treated
+alike; an empty table gives an empty mix; other columns come along unchanged.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from itertools import islice
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -41,9 +44,14 @@ from equiweave.llm.shared import WORD_PATTERN, materialize, small_batches, word_
 WEIGHTS = (1, 2, 3)
 COPIES = 3
 BLOCK = 1024
+#: numpy draws hypergeometrically from less than 10**9 in all; a block may be drawn COPIES times.
+MOST_BLOCKS = 1 << 28
 SHARD_WORDS = 1 << 21
-CELLS = 1 << 20
-BUCKET_ROWS = 4096
+TOLERANCE = 0.005
+#: Neighbouring places of the permuted blocks whose running sums one task makes.
+GROUP = 4096
+#: Subtrees that the driver hands to the executors, and the bytes of a table that may be broadcast.
+SUBTREES, BROADCAST = 256, 16 << 20
 SEED = 11
 
 
@@ -67,14 +75,59 @@ def targets(totals: list[tuple[str | None, int]], weights: tuple[int, ...] = WEI
     return [out[i] for i in range(len(totals))]
 
 
-def split_quotas(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
-    """shards x sources: how many blocks of each source every shard gets; columns add up to quotas."""
-    if shards == 1:
-        return quotas[None, :]
-    half = shards // 2
+# ---------------------------------------------------------------- the splitting tree
+
+
+def split(quotas: np.ndarray, first: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Quotas of the left shards // 2 shards and of the others, for the node of shards first to first + shards."""
     total = int(quotas.sum())
-    left = rng.multivariate_hypergeometric(quotas, total * half // shards, method="marginals") if total else quotas * 0
-    return np.concatenate([split_quotas(left, half, rng), split_quotas(quotas - left, shards - half, rng)])
+    rng = np.random.default_rng([SEED, first, shards])
+    share = total * (shards // 2) // shards
+    left = rng.multivariate_hypergeometric(quotas, share, method="marginals") if total else quotas * 0
+    return left, quotas - left
+
+
+def subtrees(quotas: np.ndarray, shards: int, most: int = SUBTREES) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first shard, shards, quotas, draws before) of about `most` nodes that cover all shards, in order."""
+    nodes = [(0, shards, quotas, quotas * 0)]
+    while len(nodes) < most and any(n > 1 for _, n, _, _ in nodes):
+        below = []
+        for first, n, own, before in nodes:
+            if n == 1:
+                below.append((first, n, own, before))
+                continue
+            left, right = split(own, first, n)
+            below += [(first, n // 2, left, before), (first + n // 2, n - n // 2, right, before + left)]
+        nodes = below
+    return nodes
+
+
+def leaves(first: int, shards: int, quotas: np.ndarray, before: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, quotas, draws before) of each shard of a node, in order."""
+    if shards == 1:
+        yield first, quotas, before
+        return
+    left, right = split(quotas, first, shards)
+    yield from leaves(first, shards // 2, left, before)
+    yield from leaves(first + shards // 2, shards - shards // 2, right, before + left)
+
+
+def dealt(spark: SparkSession, quotas: np.ndarray, shards: int) -> DataFrame:
+    """sid, shard, first and last: the run of draws of each source that each shard takes."""
+    nodes = pd.DataFrame([(f, n, q.tolist(), b.tolist()) for f, n, q, b in subtrees(quotas, shards)], columns=["first", "shards", "quotas", "before"])
+
+    def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples():
+                for shard, own, before in leaves(row.first, row.shards, np.array(row.quotas, dtype=np.int64), np.array(row.before, dtype=np.int64)):
+                    some = np.flatnonzero(own)
+                    yield pd.DataFrame({"sid": some.astype(np.int32), "shard": np.int32(shard), "first": before[some], "last": before[some] + own[some] - 1})
+
+    table = spark.createDataFrame(nodes, "first int, shards int, quotas array<long>, before array<long>")
+    return table.repartition(max(1, min(len(nodes), 2 * spark.sparkContext.defaultParallelism)), "first").mapInPandas(expand, "sid int, shard int, first long, last long")
+
+
+# ---------------------------------------------------------------- blocks and draws
 
 
 def _multiplier(n: int, rng: np.random.Generator) -> int:
@@ -83,78 +136,93 @@ def _multiplier(n: int, rng: np.random.Generator) -> int:
     return next(m for m in range(start, start + n + 1) if np.gcd(m, n) == 1)
 
 
-def plan(totals: list[tuple[str | None, int, int]], shard_words: int = SHARD_WORDS) -> pd.DataFrame:
-    """One row for each source of totals (source, size, documents): its target, quotas and shards.
+PLAN_SCHEMA = "sid int, source string, source_size long, target double, whole int, rest long, blocks long, factor long, shift long"
 
-    ends: the running sums of the shards' block quotas, so that place p belongs to the shard
-    numbered by how many of them are at most p.
-    """
+
+def plan(totals: list[tuple[str | None, int]]) -> pd.DataFrame:
+    """One row for each source of totals (source, size): its target as whole sizes and a rest, and its blocks' permutation."""
     order = sorted(range(len(totals)), key=lambda i: (totals[i][0] is None, totals[i][0] or ""))
-    rng = np.random.default_rng(SEED)
-    goal = targets([(x[0], x[1]) for x in totals])
-    quotas = [round(t) for t in goal]
-    blocks = np.array([-(-q // BLOCK) for q in quotas], dtype=np.int64)
-    shards = max(1, min(-(-sum(quotas) // shard_words), CELLS // max(1, len(totals))))
-    tree = split_quotas(blocks[order], shards, rng) if len(totals) else np.zeros((1, 0), np.int64)
-    ends = np.cumsum(tree, axis=0)
+    rng, goal = np.random.default_rng(SEED), targets(totals)
+    block = max(BLOCK, -(-sum(n for _, n in totals) // MOST_BLOCKS))
     rows = []
-    for k, i in enumerate(order):
-        n = int(blocks[i])
-        rows.append(
-            {
-                "sid": k, "source": totals[i][0], "source_size": int(totals[i][1]), "target": goal[i], "quota": int(quotas[i]),
-                "buckets": max(1, -(-int(totals[i][2]) // BUCKET_ROWS)), "blocks": n,
-                "factor": _multiplier(n, rng) if n else 1, "shift": int(rng.integers(0, max(n, 1))), "ends": ends[:, k].tolist(),
-            }
-        )
-    return pd.DataFrame(rows)
-
-
-PLAN_SCHEMA = "sid int, source string, source_size long, target double, quota long, buckets long, blocks long, factor long, shift long, ends array<long>"
-
-
-def _count_at_most(ends: Column, place: Column, steps: int) -> Column:
-    """How many of the ascending ends are at most place, by binary search."""
-    return F.aggregate(
-        F.array(*[F.lit(1 << k) for k in reversed(range(steps))]),
-        F.lit(0),
-        lambda low, step: F.when((low + step <= F.size(ends)) & (F.get(ends, low + step - 1) <= place), low + step).otherwise(low),
-    )
-
-
-def draws(rows: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """rows (doc_id, source, size, tie, any others) with source_size, target and takes added.
-
-    takes: array of struct(copy, words, shard). size: words, long, not null; tie: a hash of the
-    text that orders rows of equal doc_id. The names used here must be free in rows.
+    for sid, i in enumerate(order):
+        source, size = totals[i]
+        whole, rest = divmod(round(goal[i]), size) if size else (0, 0)
+        n = max(1, -(-size // block))
+        rows.append((sid, source, size, goal[i], whole, rest, n, _multiplier(n, rng), int(rng.integers(0, n))))
+    return pd.DataFrame(rows, columns=[x.split()[0] for x in PLAN_SCHEMA.split(", ")])
+
+
+def _sources(spark: SparkSession, planned: pd.DataFrame) -> DataFrame:
+    table = spark.createDataFrame(planned, PLAN_SCHEMA) if len(planned) else spark.createDataFrame([], PLAN_SCHEMA)
+    small = 100 * len(planned) + sum(4 * len(s or "") for s in planned["source"]) <= BROADCAST
+    return F.broadcast(table) if small else table
+
+
+def placed(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """rows (doc_id, source, tie, any others) with the columns of their source, block and h, a document's hash."""
+    out = rows.join(sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    out = out.withColumn("h", F.xxhash64(F.lit(SEED), "doc_id", "tie"))
+    return out.withColumn("block", F.pmod("h", F.col("blocks")))
+
+
+def ordered_blocks(sizes: DataFrame) -> DataFrame:
+    """sid, block, nth (from 0, in permuted order), start (words before it), words and the source's whole and rest, of each block."""
+    place = F.pmod(F.col("block") * F.col("factor") + F.col("shift"), F.col("blocks"))  # below 2**57
+    blocks = sizes.where("size > 0").groupBy("sid", "block", "whole", "rest", place.alias("place")).agg(F.sum("size").alias("words"))
+    blocks = materialize(blocks.withColumn("part", F.floor(F.col("place") / GROUP)), "mix-blocks")
+    per = blocks.groupBy("sid", "part").agg(F.sum("words").alias("w"), F.count("*").alias("n"))
+    before = Window.partitionBy("sid").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select("sid", "part", F.coalesce(F.sum("w").over(before), F.lit(0)).alias("w0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"))
+    inside = Window.partitionBy("sid", "part").orderBy("place")
+    start = F.col("w0") + F.sum("words").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")
+    return blocks.join(per, ["sid", "part"]).select("sid", "block", (F.col("n0") + F.row_number().over(inside) - 1).alias("nth"), start.alias("start"), "words", "whole", "rest")
+
+
+def partial_words(sizes: DataFrame, blocks: DataFrame) -> DataFrame:
+    """sid, block, h and part: the words of the documents that give fewer than all to the rest, in blocks that a rest reaches in part."""
+    reached = blocks.where("start < rest and start + words > rest").select("sid", "block", (F.col("rest") - F.col("start")).alias("room"))
+    docs = sizes.where("size > 0").join(reached, ["sid", "block"]).groupBy("sid", "block", "h", "room", "target").agg(F.max("size").alias("size"), F.count("*").alias("rows"))
+    start = F.sum(F.col("size") * F.col("rows")).over(Window.partitionBy("sid", "block").orderBy("h").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size") * F.col("rows")
+    docs = docs.withColumn("left", F.greatest(F.lit(0), F.col("room") - start)).withColumn("each", F.least(F.col("size"), F.expr("left div rows")))
+    miss = F.col("each") * F.col("rows"), (F.col("size") - F.col("each")) * F.col("rows")
+    near = F.when(F.least(*miss) > F.col("target") * TOLERANCE, F.col("each")).when(miss[0] < miss[1], F.lit(0)).otherwise(F.col("size"))
+    given = F.when(F.col("each") == F.col("size"), F.col("size")).when(F.col("left") == 0, 0).otherwise(near)
+    return docs.where(given < F.col("size")).select("sid", "block", "h", given.alias("part"))
+
+
+def draws(sizes: DataFrame, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sources' plan; (sid, block, drawn): the shards' draws of each block, structs of shard, copy and rest; and partial_words.
+
+    sizes: doc_id, source, size, tie.
     """
-    spark = rows.sparkSession
-    totals = [tuple(r) for r in rows.groupBy("source").agg(F.sum("size"), F.count("*")).collect()]
-    planned = plan(totals, shard_words)
-    sources = spark.createDataFrame(planned, PLAN_SCHEMA) if len(planned) else spark.createDataFrame([], PLAN_SCHEMA)
-    steps = len(planned["ends"].iloc[0]).bit_length() if len(planned) else 1
-    # At most CELLS numbers in all: a proven bound.
-    sources = F.broadcast(sources.withColumnRenamed("source", "_source"))
-    rows = rows.join(sources, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    rows = rows.withColumn("hash", F.xxhash64(F.lit(SEED), "doc_id", "tie"))
-    rows = rows.withColumn("bucket", F.pmod("hash", F.col("buckets")))
-    sums = rows.groupBy("sid", "bucket").agg(F.sum("size").alias("words"))
-    before = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = materialize(sums.select("sid", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("bucket_start")), "mix-buckets", few=True)
-    inside = Window.partitionBy("sid", "bucket").orderBy("hash", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.join(starts, ["sid", "bucket"])
-    rows = rows.withColumn("start", F.col("bucket_start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    whole = F.expr("if(source_size = 0, 0, quota div greatest(source_size, 1))")
-
-    def take(copy: Column) -> Column:
-        words = F.when(copy < whole, F.col("size")).otherwise(F.greatest(F.lit(0), F.least("size", F.col("quota") - whole * F.col("source_size") - F.col("start"))))
-        block = F.floor((copy * F.col("source_size") + F.col("start")) / BLOCK).cast("decimal(19,0)")
-        place = F.pmod(block * F.col("factor").cast("decimal(19,0)") + F.col("shift"), F.greatest(F.col("blocks"), F.lit(1)).cast("decimal(19,0)")).cast("long")
-        return F.struct(copy.cast("int").alias("copy"), words.cast("long").alias("words"), _count_at_most(F.col("ends"), place, steps).alias("shard"))
-
-    takes = F.filter(F.transform(F.sequence(F.lit(0), whole.cast("int")), take), lambda t: t["words"] > 0)
-    rows = rows.withColumn("takes", takes)
-    return rows.drop("sid", "quota", "buckets", "blocks", "factor", "shift", "ends", "hash", "bucket", "bucket_start", "start")
+    spark = sizes.sparkSession
+    planned = plan([tuple(r) for r in sizes.groupBy("source").agg(F.sum("size")).collect()])
+    sources = _sources(spark, planned)
+    sizes = placed(sizes, sources)
+    blocks = materialize(ordered_blocks(sizes), "mix-places")
+    # A draw is a copy of a block: all blocks `whole` times, then those that the rest reaches.
+    counts = {r[0]: r[1:] for r in blocks.groupBy("sid").agg(F.count("*"), F.count_if(F.col("start") < F.col("rest"))).collect()}
+    quotas = np.array([w * counts[s][0] + counts[s][1] if s in counts else 0 for s, w in zip(planned["sid"], planned["whole"], strict=True)], dtype=np.int64)
+    words = round(sum(planned["target"]))
+    shards = max(1, -(-words // shard_words))
+    held = spark.createDataFrame([(s, int(n)) for s, (n, _) in counts.items()], "sid int, n long")
+    copies = F.sequence(F.lit(0), F.col("whole") - F.when(F.col("start") < F.col("rest"), 0).otherwise(1))
+    some = blocks.where("whole > 0 or start < rest").join(held, "sid").select("sid", "block", "whole", "n", "nth", F.explode(copies).alias("copy"))
+    some = some.select("sid", "block", "copy", (F.col("copy") == F.col("whole")).alias("rest"), (F.col("copy") * F.col("n") + F.col("nth")).alias("draw"))
+    runs = dealt(spark, quotas, shards).select("sid", "shard", F.explode(F.sequence("first", "last")).alias("draw"))
+    drawn = some.join(runs, ["sid", "draw"]).groupBy("sid", "block").agg(F.array_sort(F.collect_list(F.struct("copy", "shard", "rest"))).alias("drawn"))
+    parts = materialize(partial_words(sizes, blocks), "mix-parts")
+    return sources, materialize(drawn, "mix-draws"), parts
+
+
+def with_takes(rows: DataFrame, sources: DataFrame, drawn: DataFrame, parts: DataFrame, size: Column) -> DataFrame:
+    """rows (doc_id, source, tie, any others) with source_size, target and takes, an array of struct(shard, copy, words)."""
+    own = placed(rows, sources).drop("whole", "rest", "blocks", "factor", "shift")
+    own = own.join(drawn.hint("shuffle_hash"), ["sid", "block"], "left").join(parts, ["sid", "block", "h"], "left")
+    takes = F.transform("drawn", lambda t: F.struct(t["shard"].alias("shard"), t["copy"].alias("copy"), F.when(t["rest"], F.coalesce("part", size)).otherwise(size).alias("words")))
+    takes = F.coalesce(F.filter(takes, lambda t: t["words"] > 0), F.array().cast("array<struct<shard:int,copy:int,words:long>>"))
+    return own.withColumn("takes", takes).drop("sid", "block", "h", "drawn", "part")
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -163,11 +231,14 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(text).alias("size"), F.xxhash64(text).alias("tie"))
 
 
-def word_report(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target and taken of each row of docs."""
-    drawn = draws(materialize(sized(docs), "mix-sizes"))
+def word_report(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies and shards (of the copies, ascending) of each row of docs."""
+    rows = materialize(sized(docs), "mix-sizes")
+    out = with_takes(rows, *draws(rows, shard_words), F.col("size"))
     taken = F.aggregate("takes", F.lit(0).cast("long"), lambda total, t: total + t["words"])
-    return drawn.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return out.select(
+        "doc_id", "size", "source_size", "target", taken.alias("taken"), F.size("takes").alias("copies"), F.array_sort(F.transform("takes", lambda t: t["shard"])).alias("shards")
+    )
 
 
 def _first_words(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -179,18 +250,19 @@ def _first_words(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.
 def mix(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
     """The mix: docs' columns, one row for each copy taken, dealt into shards and shuffled in each.
 
-    The one copy at the end of a source's target holds the first words of its text.
+    A copy that is cut holds the first words of its text.
     """
     small_batches(docs.sparkSession)
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    sources, drawn, parts = draws(materialize(sized(docs), "mix-sizes"), shard_words)
     text = F.col("row.text").cast("string")
-    packed = packed.select(
-        "row", F.col("row.doc_id").alias("doc_id"), F.col("row.source").cast("string").alias("source"), word_count(text).alias("size"), F.xxhash64(text).alias("tie")
-    )
-    copies = draws(packed, shard_words).select("row", "doc_id", "size", "tie", F.explode("takes").alias("take"))
-    cut = F.col("take.words") < F.col("size")
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    packed = packed.select("row", F.col("row.doc_id").alias("doc_id"), F.col("row.source").cast("string").alias("source"), F.xxhash64(text).alias("tie"))
+    # Documents of no words have no block that counts; a whole copy's words need not be counted again.
+    whole = F.when(text.rlike(WORD_PATTERN), F.lit(1 << 62)).otherwise(F.lit(0))
+    copies = with_takes(packed, sources, drawn, parts, whole).select("row", "doc_id", "tie", F.explode("takes").alias("take"))
+    cut = F.col("take.words") < F.lit(1 << 62)
     first = F.pandas_udf(_first_words, "string")(F.when(cut, F.col("row.text").cast("string")), F.when(cut, F.col("take.words")))
     copies = copies.withColumn("cut", first)
-    dealt = copies.repartition(F.col("take.shard")).sortWithinPartitions("take.shard", F.xxhash64(F.lit(SEED + 1), "doc_id", "tie", "take.copy"))
+    dealt_ = copies.repartition(F.col("take.shard")).sortWithinPartitions("take.shard", F.xxhash64(F.lit(SEED + 1), "doc_id", "tie", "take.copy"))
     columns = [F.coalesce("cut", F.col("row.text").cast("string")).alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns]
-    return dealt.select(*columns)
+    return dealt_.select(*columns)

@@ -58,19 +58,62 @@ def test_every_document_operator_takes_an_empty_table(spark):
 
 def test_shards_get_exact_disjoint_quotas():
     quotas = np.array([7, 0, 130, 41])
-    tree = mixing.split_quotas(quotas, 5, np.random.default_rng(3))
-    assert (tree.sum(axis=0) == quotas).all() and (tree >= 0).all()
-    assert max(tree.sum(axis=1)) - min(tree.sum(axis=1)) <= 3
+    for most in (1, 3, 256):
+        nodes = mixing.subtrees(quotas, 5, most)
+        tree = [leaf for f, n, own, before in nodes for leaf in mixing.leaves(f, n, own, before)]
+        assert [shard for shard, _, _ in tree] == list(range(5))
+        owns = np.array([own for _, own, _ in tree])
+        assert (owns.sum(axis=0) == quotas).all() and (owns >= 0).all()
+        assert max(owns.sum(axis=1)) - min(owns.sum(axis=1)) <= 3
+        assert all((before == owns[:k].sum(axis=0)).all() for k, (_, _, before) in enumerate(tree))
+        if most == 1:
+            first = owns
+        assert (owns == first).all()
+
+
+MIXED = [(i, " ".join(f"w{k}" for k in range(1 + i % 40)), f"s{i % 3}") for i in range(120)] + [(200, "x " * 50, None), (201, "", "s1"), (202, None, "s2"), (None, "no id here", "s0")]
 
 
 def test_copies_of_the_mix_add_up(spark):
-    rows = [(i, " ".join(f"w{k}" for k in range(1 + i % 40)), f"s{i % 3}") for i in range(120)] + [(200, "x " * 50, None)]
-    docs = documents(spark, rows)
-    report = {r.doc_id: r for r in mixing.word_report(docs).collect()}
-    words = Counter()
+    docs = documents(spark, MIXED + [MIXED[7], MIXED[7]])
+    words, shares = Counter(), Counter()
+    for r in mixing.word_report(docs, shard_words=200).collect():
+        words[r.doc_id] += r.taken
+        shares[r.doc_id] += r.copies
+        assert len(r.shards) == r.copies and r.taken <= 3 * r["size"]
+    got, copies = Counter(), Counter()
     for r in mixing.mix(docs, shard_words=200).collect():
-        words[r.doc_id] += len(r.text.split())
-    assert {d: r.taken for d, r in report.items() if r.taken} == dict(words)
+        got[r.doc_id] += len(r.text.split())
+        copies[r.doc_id] += 1
+    assert +words == got and +shares == copies
+    assert words[201] == words[202] == 0
+
+
+def test_taken_words_come_from_the_tree_and_the_permutation(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 40)
+    docs = documents(spark, [x for x in MIXED if x[0] is not None])
+
+    def report():
+        return {r.doc_id: r for r in mixing.word_report(docs, shard_words=150).collect()}
+
+    real, whole = report(), mixing.split
+    assert len({s for r in real.values() for s in r.shards}) > 5
+    monkeypatch.setattr(mixing, "split", lambda quotas, first, shards: (quotas, quotas * 0))  # all blocks to shard 0
+    assert {d: r.shards for d, r in report().items()} != {d: r.shards for d, r in real.items()}
+    monkeypatch.setattr(mixing, "split", lambda quotas, first, shards: (quotas // 3, quotas // 3))  # a tree that loses blocks
+    assert sum(r.taken for r in report().values()) < 0.8 * sum(r.taken for r in real.values())
+    monkeypatch.setattr(mixing, "split", whole)
+    monkeypatch.setattr(mixing, "_multiplier", lambda n, rng: 1)  # no permutation
+    assert {d: r.taken for d, r in report().items()} != {d: r.taken for d, r in real.items()}
+
+
+def test_a_rest_is_met_nearly_and_its_last_copy_whole_where_it_can(spark):
+    rows = [(i, f"text {i} " * 40, "ab"[i % 2]) for i in range(400)] + [(900, "long " * 3000, "c")]
+    report = mixing.word_report(documents(spark, rows)).toPandas()
+    names = {d: s for d, _, s in rows}
+    by = report.assign(source=[names[d] for d in report.doc_id]).groupby("source").agg(taken=("taken", "sum"), target=("target", "first"))
+    assert (abs(by.taken - by.target) <= mixing.TOLERANCE * by.target + 1).all()
+    assert not (report[report.doc_id < 900].taken % 80).any()
 
 
 # ---------------------------------------------------------------- op 2
