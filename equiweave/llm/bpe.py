@@ -2,7 +2,10 @@
 
 All distinct words of a batch that the worker has not seen lie in one flat symbol array. In each
 round every word merges its lowest-ranked neighbour pair; ranks come from a binary search over the
-sorted keys ``left * vocabulary + right``. A word ends when none of its pairs has a rank.
+sorted keys ``left * vocabulary + right``. A word ends when none of its pairs has a rank. A piece of
+more than LONG bytes is merged alone, rank by rank: its symbols are a linked list, places wait under
+the rank of their pair, and a round takes all places of the lowest rank and looks up the pairs next
+to them only, so that a piece of n bytes takes about n log n steps.
 
 Reads a tokenizers JSON file of this kind: NFC, white space to blanks, lower case; a split pattern
 whose matches are the pieces; byte-level symbols; BPE with an end-of-word suffix; no decoder, so
@@ -11,12 +14,13 @@ decoding joins the tokens with blanks. Other settings raise ValueError.
 Defined cases: null text is encoded as empty; empty text has no ids and decodes to empty; special
 tokens' own strings in a text become their ids; a repeated row is encoded again; input columns
 besides the ones named are ignored. Memory of a worker: the vocabulary, one slice of texts and a
-word cache of CACHE_WORDS entries, emptied when full. Nothing is shuffled.
+word cache of CACHE_WORDS entries and CACHE_IDS ids, emptied when full. Nothing is shuffled.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 import unicodedata
@@ -29,7 +33,9 @@ from pyspark.sql import functions as F
 
 from equiweave.llm.shared import release_memory, rows_at_once, small_batches
 
-CACHE_WORDS = 150_000
+CACHE_WORDS, CACHE_IDS = 150_000, 1 << 22
+#: Bytes from which a piece is merged by itself.
+LONG = 256
 SLICE_CHARS = 1 << 20
 # The code points of Unicode's White_Space property.
 WHITE = "\t-\r \x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -92,6 +98,7 @@ class BatchBpe:
         keys_by_rank, made_by_rank = np.array(keys, dtype=np.int64), np.array(made, dtype=np.int64)
         order = np.argsort(keys_by_rank, kind="stable")
         self.keys, self.ranks, self.made = keys_by_rank[order], order, made_by_rank
+        self.left, self.right = keys_by_rank // self.width, keys_by_rank % self.width
         # A merge may be done at all places of a word in one round unless what it makes takes part in an earlier merge.
         first_use = np.full(self.width, len(keys), dtype=np.int64)
         ranks = np.arange(len(keys))
@@ -116,7 +123,7 @@ class BatchBpe:
         sizes = np.array([len(w) for w in words], dtype=np.int64)
         data = np.frombuffer(b"".join(words), dtype=np.uint8)
         symbols = self.inner[data]
-        ends = np.cumsum(sizes)
+        ends = np.cumsum(sizes)[sizes > 0]
         symbols[ends - 1] = self.final[data[ends - 1]]
         owner = np.repeat(np.arange(len(words)), sizes)
         none = len(self.made)
@@ -152,6 +159,65 @@ class BatchBpe:
         order = np.argsort(owner, kind="stable")
         return symbols[order], np.searchsorted(owner[order], np.arange(len(words) + 1))
 
+    def _merge_long(self, word: bytes) -> np.ndarray:
+        """Ids of one word."""
+        data = np.frombuffer(word, dtype=np.uint8)
+        symbols = self.inner[data]
+        symbols[-1] = self.final[data[-1]]
+        n, none = len(symbols), len(self.made)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)  # n and -1 are outside
+        waiting: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def wait(at: np.ndarray) -> None:
+            """Put each place under the rank of the pair that begins there."""
+            at = at[after[at] < n]
+            pair = symbols[at] * self.width + symbols[after[at]]
+            where = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
+            rank = np.where(self.keys[where] == pair, self.ranks[where], none)
+            order = np.argsort(rank, kind="stable")
+            rank, at = rank[order], at[order]
+            cuts = np.flatnonzero(np.append(True, rank[1:] != rank[:-1])) if len(rank) else rank
+            for a, b, r in zip(cuts.tolist(), [*cuts[1:].tolist(), len(rank)], rank[cuts].tolist(), strict=True):
+                if r < none:
+                    if r not in waiting:
+                        waiting[r] = []
+                        heapq.heappush(heap, r)
+                    waiting[r].append(at[a:b])
+
+        wait(np.arange(n - 1))
+        while heap:
+            rank = heapq.heappop(heap)
+            at = np.unique(np.concatenate(waiting.pop(rank)))
+            at = at[(symbols[at] == self.left[rank]) & (after[at] < n)]
+            at = at[symbols[after[at]] == self.right[rank]]  # places whose pair has gone meanwhile drop out
+            if not len(at):
+                continue
+            if self.one_by_one[rank] and len(at) > 1:
+                waiting[rank] = [at[1:]]
+                heapq.heappush(heap, rank)
+                at = at[:1]
+            # Left to right: of touching places only every second one merges.
+            new = np.append(True, after[at[:-1]] != at[1:])
+            at = at[(np.arange(len(at)) - np.flatnonzero(new)[np.cumsum(new) - 1]) % 2 == 0]
+            gone = after[at]
+            symbols[at], symbols[gone] = self.made[rank], -1
+            after[at] = after[gone]
+            inside = after[at] < n
+            before[after[at][inside]] = at[inside]
+            near = before[at]
+            wait(np.unique(np.concatenate([at, near[near >= 0]])))
+        return symbols[symbols >= 0]
+
+    def _merged(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in one array, and the offsets of each word's."""
+        long = [len(w) > LONG for w in words]
+        if not any(long):
+            return self._merge(words)
+        ids, at = self._merge([b"" if x else w for w, x in zip(words, long, strict=True)])
+        parts = [self._merge_long(w) if x else ids[a:b] for w, x, a, b in zip(words, long, at[:-1], at[1:], strict=True)]
+        return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+
     def _learn(self, words: set[str]) -> None:
         """Add words (runs without white space, or special tokens) to the cache."""
         if len(self.cache) + len(words) > CACHE_WORDS:
@@ -166,7 +232,7 @@ class BatchBpe:
             counts.append(len(pieces))
             for piece in pieces:
                 owned.append(distinct.setdefault(piece, len(distinct)))
-        ids, at = self._merge([p.encode("utf-8", "surrogatepass") for p in distinct]) if distinct else (np.zeros(0, np.int64), np.zeros(1, np.int64))
+        ids, at = self._merged([p.encode("utf-8", "surrogatepass") for p in distinct]) if distinct else (np.zeros(0, np.int64), np.zeros(1, np.int64))
         own = np.array(owned, dtype=np.int64)
         lengths = at[own + 1] - at[own] if len(own) else own
         ends = np.cumsum(lengths)
@@ -201,7 +267,7 @@ class BatchBpe:
             flat = [w for x in words for w in x]
             distinct = set(flat)
             if not self.cache.keys() >= distinct:
-                if len(self.cache) + len(distinct) > CACHE_WORDS:
+                if len(self.cache) + len(distinct) > CACHE_WORDS or len(self.flat) > CACHE_IDS:
                     self.forget()
                 self._learn(distinct - self.cache.keys())
             index = np.fromiter(map(self.cache.__getitem__, flat), dtype=np.int64, count=len(flat))
