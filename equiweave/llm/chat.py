@@ -11,9 +11,10 @@ backslash is put before every backslash and after the first character of every c
 that no control string is left; dropping each backslash that starts such a pair restores the text.
 A line break inside a role is written as backslash and n.
 
-Pieces are made by column functions; places are running sums. A conversation's turns, which may be
-a third of all rows, are one sorted run that the reader streams through, holding one batch and the
-state of two hashes.
+Pieces and places are made by column functions alone: places are running sums over runs of RUN turn
+numbers, whose totals are summed by conversation, so a conversation that is a third of all rows is
+many tasks. The reader, whose digests need a conversation's texts in order, streams through them as
+one sorted run, holding one batch and the state of two hashes.
 
 Defined cases: null text and null role are empty; turns go by number (null first), then role, then
 text, so repeated rows are repeated turns; a null conv_id is a conversation; roles other than
@@ -29,11 +30,14 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 # Strings that mark turns in this and other common chat templates.
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>")
 OPEN, BREAK, CLOSE = "<s>[INST] ", "\n", "[/INST]</s>"
 TRAINED = "assistant"
+#: Turn numbers whose places one task sums.
+RUN = 1024
 _STARTS = r"([<\[])(?=" + "|".join(sorted({re.escape(c[1:]) for c in CONTROLS}, key=lambda x: (-len(x), x))) + ")"
 
 
@@ -57,43 +61,26 @@ def demo(spark: SparkSession, like: DataFrame) -> DataFrame:
     return made.select(*[F.col(c).cast(like.schema[c].dataType).alias(c) for c in ("conv_id", "turn", "role", "text")])
 
 
-def pieces(turns: DataFrame) -> DataFrame:
-    """conv_id, turn, role, trained, lead, body and tail of each turn; the three strings are its formatted piece."""
-    role = F.coalesce(F.col("role").cast("string"), F.lit(""))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return turns.select(
-        "conv_id", "turn", role.alias("role"),
-        (role == TRAINED).alias("trained"),
-        F.concat(F.lit(OPEN), F.replace(escape(role), F.lit("\n"), F.lit("\\n")), F.lit(BREAK)).alias("lead"),
-        escape(text).alias("body"),
-        F.lit(CLOSE).alias("tail"),
-    )
-
-
 def formatted(turns: DataFrame) -> DataFrame:
-    """conv_id, seq (from 0), piece, start, loss_start and loss_end (code points; null without loss) of each turn.
-
-    Rows of a conversation are one sorted run of a partition.
-    """
-    kind = turns.schema["conv_id"].dataType.simpleString()
-    made = pieces(turns).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "body")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, seq, start = object(), 0, 0
-        for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            for conv, trained, lead, body, tail in zip(*[batch.column(i).to_pylist() for i in (0, 3, 4, 5, 6)], strict=True):
-                if conv != now:
-                    now, seq, start = conv, 0, 0
-                begin = start + len(lead)
-                row = (conv, seq, lead + body + tail, start, begin if trained else None, begin + len(body) if trained else None)
-                for column, value in zip(out, row, strict=True):
-                    column.append(value)
-                seq, start = seq + 1, begin + len(body) + len(tail)
-            types = [batch.column(0).type, pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["conv_id", "seq", "piece", "start", "loss_start", "loss_end"])
-
-    return made.mapInArrow(run, f"conv_id {kind}, seq long, piece string, start long, loss_start long, loss_end long")
+    """conv_id, seq (from 0), piece, start, loss_start and loss_end (code points; null without loss) of each turn."""
+    base = turns.select(
+        "conv_id", "turn", F.floor(F.col("turn") / RUN).cast("long").alias("run"),
+        F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+    )
+    lead = F.concat(F.lit(OPEN), F.replace(escape(F.col("role")), F.lit("\n"), F.lit("\\n")), F.lit(BREAK))
+    base = base.withColumn("lead", F.length(lead)).withColumn("body", F.length(escape(F.col("text")))).withColumn("chars", F.col("lead") + F.col("body") + len(CLOSE))
+    totals = base.groupBy(F.col("conv_id").alias("c"), F.col("run").alias("r")).agg(F.count("*").alias("n"), F.sum("chars").alias("total"))
+    earlier = Window.partitionBy("c").orderBy(F.col("r").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("c", "r", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n0"), F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("at0"))
+    inside = Window.partitionBy("conv_id", "run").orderBy("turn", "role", "text")
+    rows = base.withColumn("nth", F.row_number().over(inside) - 1).withColumn("end", F.sum("chars").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.join(totals, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("run").eqNullSafe(F.col("r")))
+    start = F.col("at0") + F.col("end") - F.col("chars")
+    trained = F.col("role") == TRAINED
+    return rows.select(
+        "conv_id", (F.col("n0") + F.col("nth")).alias("seq"), F.concat(lead, escape(F.col("text")), F.lit(CLOSE)).alias("piece"), start.alias("start"),
+        F.when(trained, start + F.col("lead")).alias("loss_start"), F.when(trained, start + F.col("lead") + F.col("body")).alias("loss_end"),
+    )
 
 
 def examples(pieces_: DataFrame) -> DataFrame:
