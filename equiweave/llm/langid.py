@@ -1,8 +1,8 @@
 """Language of web pages by Bayesian evidence fusion.
 
 The posterior of a language is the product of four factors:
-* the text: likelihoods of byte trigrams of the page's visible text, from a model fitted on at most
-  SAMPLE labelled documents; a text counts as EVIDENCE trigrams at most, as trigrams of one text
+* the text: likelihoods of byte trigrams of the page's visible text, from the counts of all labelled
+  documents; a text counts as EVIDENCE trigrams at most, as trigrams of one text
   are not independent (all of the text is read, its mean log-likelihood is scaled);
 * the declared markup language, by how often pages of each language declare it;
 * the address suffix (top-level domain, and the first path segment if it is a language code), by
@@ -12,8 +12,9 @@ The posterior of a language is the product of four factors:
 The last three come from sums of the text posteriors over all pages, grouped by value, host and
 domain. A page's own posterior is taken out of the sums before they are used for it.
 
-What moves: a row of strings and probabilities for each page; sums are combined before the shuffle
-and joined back, where a hot host may be split as skewed.
+What moves: each task's trigram counts by language, whose sums (at most BUCKETS for each language)
+are the model that the driver holds; a row of strings and probabilities for each page; sums are
+combined before the shuffle and joined back, where a hot host may be split as skewed.
 
 Defined cases: null html is an empty text, which says nothing; no declared language, no host and
 no suffix are values like others (the empty string); a null page_id is a page; repeated rows are
@@ -34,9 +35,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from equiweave.llm.shared import lower_ascii, materialize, mix, slices, small_batches, utf8
+from equiweave.llm.shared import lower_ascii, materialize, mix, rows_at_once, slices, small_batches, utf8
 
-SAMPLE = 2_000
 BUCKETS = 1 << 14
 EVIDENCE = 60
 #: Pages that the next wider level counts as, when a narrower one is smoothed towards it.
@@ -88,15 +88,39 @@ def trigrams(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return code[place].astype(np.int64), ends
 
 
-def fit(texts: pa.Array, languages: list[str]) -> TextModel:
+def trigram_counts(docs: DataFrame) -> DataFrame:
+    """lang, bucket and n of all texts of docs (text, lang), summed by task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in rows_at_once(batches):
+            flat, at = utf8(batch.column(0))
+            languages = batch.column(1).to_pylist()
+            for first, end, part, part_at in slices(flat, at):
+                code, ends = trigrams(part, part_at)
+                own = languages[first:end]
+                known = {x: i for i, x in enumerate(dict.fromkeys(own))}
+                which = np.repeat([known[x] for x in own], np.diff(ends))
+                counts = np.bincount(which * BUCKETS + code, minlength=len(known) * BUCKETS).reshape(-1, BUCKETS)
+                for x, i in known.items():
+                    sums[x] = sums.get(x, 0) + counts[i]
+        for x, counts in sums.items():
+            some = np.flatnonzero(counts)
+            # A language of texts without trigrams is known all the same.
+            some = some if len(some) else np.zeros(1, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([x] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(counts[some].astype(np.int64))], ["lang", "bucket", "n"])
+
+    return docs.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+
+
+def fit(docs: DataFrame) -> TextModel:
+    """The model of docs (text, lang), neither null."""
+    found = trigram_counts(docs).toArrow()
+    languages = found["lang"].to_pylist()
     known = sorted(set(languages))
+    column = {x: i for i, x in enumerate(known)}
     counts = np.full((BUCKETS, len(known)), 0.5)
-    flat, at = utf8(texts)
-    column = {lang: i for i, lang in enumerate(known)}
-    for first, _, part, part_at in slices(flat, at):
-        code, ends = trigrams(part, part_at)
-        for k in range(len(part_at) - 1):
-            counts[:, column[languages[first + k]]] += np.bincount(code[ends[k] : ends[k + 1]], minlength=BUCKETS)
+    np.add.at(counts, (found["bucket"].to_numpy(), np.array([column[x] for x in languages], dtype=np.int64)), found["n"].to_numpy())
     return TextModel(known, np.log(counts / counts.sum(axis=0)).astype(np.float32))
 
 
@@ -145,17 +169,13 @@ def evidence(pages: DataFrame, model: TextModel) -> DataFrame:
     return rows.mapInArrow(run, "page_id long, host string, domain string, suffix string, markup string, p array<double>")
 
 
-def identify(pages: DataFrame, docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     """page_id, lang, probability, text_lang, markup and host of each page; docs (text, lang) are labelled."""
     small_batches(docs.sparkSession)
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    ids = labelled.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    learnt = labelled.join(F.broadcast(ids), labelled["doc_id"].eqNullSafe(ids["doc_id"])).select("text", "lang").limit(2 * sample).toArrow()
-    languages = learnt.column(1).to_pylist()
-    if not languages:
+    model = fit(docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")))
+    if not model.languages:
         empty = F.lit(None).cast("string")
         return pages.select(F.col("page_id").cast("long").alias("page_id"), empty.alias("lang"), F.lit(0.0).alias("probability"), empty.alias("text_lang"), empty.alias("markup"), empty.alias("host"))
-    model = fit(learnt.column(0).combine_chunks(), languages)
     rows = materialize(evidence(pages, model), "lang-evidence")
     known = range(len(model.languages))
 
