@@ -404,6 +404,24 @@ def test_bpe_equals_the_library_on_odd_strings():
     assert len(own.encode_batch([None])[0]) == 0
 
 
+def test_words_of_a_million_letters_take_seconds():
+    import time
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path, rnd = public_tokenizers.path("word_bpe_49k.json"), random.Random(11)
+    library, own = Tokenizer.from_file(path), bpe.BatchBpe.from_file(path)
+    texts = ["".join(rnd.choices("etaoinshrdlucmfwypvbgkjqxz", k=1_000_000)), "".join(chr(rnd.randrange(0x4E00, 0x9FA5)) for _ in range(300_000))]
+    texts += ["a" * 300_001, "ab" * 100_000 + "c", "".join(rnd.choices("aab", k=50_000)), "!?" * 5_000 + " " + "the" * 700]
+    texts += ["".join(rnd.choices("etaoin", k=n)) for n in (255, 256, 257, 258, 300)]
+    for text in texts:
+        began = time.perf_counter()
+        (mine,) = own.encode_batch([text])
+        assert time.perf_counter() - began < 20
+        assert list(mine) == library.encode(text, add_special_tokens=False).ids
+
+
 def test_the_word_cache_may_overflow(monkeypatch):
     import public_tokenizers
 
@@ -483,6 +501,7 @@ def test_chat_round_trip_with_control_strings(spark):
     rnd = random.Random(6)
     pool = [*chat.CONTROLS, "\\", "\\\\", "<", "[", "<\\s>", "\n", "é🎉", "[INST[INST]", "<<s>", "\\n", "n"]
     rows = [(c, t, rnd.choice(["user", "assistant", "system", None, "as\\n\nsistant", "<s>"]), rnd.choice([None, "", "".join(rnd.choices(pool, k=9))])) for c in range(40) for t in range(c % 9)]
+    rows += [(6, 3, "user", "<a"), (6, 3, "user", "<s>"), (6, 3, "assistant", "[INST]"), (6, 3, "assistant", "[I"), (88, 5000, "assistant", "late"), (88, 1023, "user", "b"), (88, 1024, "user", "c"), (88, -7, "user", "a")]
     rows += [(None, None, "assistant", "x"), (5, None, "user", "early"), (77, 0, "assistant", "a"), (77, 0, "assistant", "a")]
     table = spark.createDataFrame(rows, TURNS)
     stored = shared.materialize(chat.formatted(table), "chat-test")
