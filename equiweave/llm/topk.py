@@ -4,17 +4,18 @@ Candidates are dealt into blocks. In a block each coordinate has a sorted list o
 values. A query reads its lists from the top for its positive coordinates and from the bottom for
 its negative ones, all to one depth, in rounds that go deeper. What it has read of a candidate is
 the candidate's partial sum, to which a round adds newly read entries only. The rest lies between
-two bounds: by the lists, a coordinate not yet read is between its list's far end and the last
-value read; by length, the unread part is at most |unread query| * |unread candidate|, where the
-candidate's whole length is one more list. The tighter of each gives a lower and an upper bound of
-the score. Candidates whose upper bound is below the k-th highest lower bound cannot qualify; they
-are dropped and later rounds do not touch them. Reading stops when at most RESOLVE candidates are
-left, or at the lists' ends; the scores of those left are then resolved in full, exactly.
+two bounds: by the lists, a coordinate not yet read is at most the last value read; by length, the
+unread part is at most |unread query| * |unread candidate|, where the candidate's whole length is
+one more list. Both give an upper bound, the second a lower bound of the score. Candidates whose
+upper bound is below the k-th highest lower bound cannot qualify; a query stops when at most RESOLVE
+are left, or at its lists' ends, and the scores of those left are then resolved in full, exactly.
+Queries that read to the same depth share a round as matrix products; candidates that none of the
+queries still reading has left are dropped from the next one.
 
 The blocks' answers for a query, k each, are merged by rank. Queries are few against all rows, in
 blocks: each pair of a query block and a candidate block is one task group of bounded size.
 
-Bounds are float64 with a slack; where partial sums could pass 2**53, every score of the block is
+Bounds are float32 with a slack; where partial sums could pass 2**53, every score of the block is
 computed with Python integers instead, which raise OverflowError beyond 64 bits.
 
 Defined cases: vectors that are null or hold a null or non-finite component take no part, neither
@@ -37,10 +38,12 @@ from equiweave.llm.shared import materialize
 K = 5
 SCALE = 256
 BLOCK_ROWS, BLOCK_QUERIES = 4096, 2048
-#: Share of every list that has been read after each round.
-DEPTHS = (0.5, 0.625, 0.75, 0.875, 1.0)
+#: Share of every list that has been read after each round; after the last, everything is read.
+DEPTHS = (0.5, 0.75, 0.875)
 #: Candidates whose scores are worth resolving instead of reading on.
-RESOLVE = 64
+RESOLVE = 128
+#: Queries whose bounds are held at once.
+BATCH = 256
 
 
 def quantized(vector: Column) -> Column:
@@ -66,44 +69,50 @@ class Block:
     """Sorted lists of a block of candidates x (rows sorted by name)."""
 
     def __init__(self, x: np.ndarray):
-        self.x, self.n = x.astype(np.float64), len(x)
+        self.x, self.n = x.astype(np.float32), len(x)
         order = np.argsort(x, axis=0, kind="stable")
         self.rank = np.empty(x.shape, dtype=np.int32)
         np.put_along_axis(self.rank, order, np.arange(self.n, dtype=np.int32)[:, None], 0)
         self.lists = np.take_along_axis(self.x, order, 0)
-        self.length = (self.x**2).sum(axis=1)
+        self.length = (x.astype(np.float64) ** 2).sum(axis=1).astype(np.float32)
 
-    def survivors(self, q: np.ndarray, mine: np.ndarray, k: int, resolve: int, depths: tuple[float, ...] = DEPTHS) -> tuple[np.ndarray, float]:
-        """Rows that can still be among the query's k best, and the share of its lists that was read.
+    def survivors(self, queries: np.ndarray, mine: np.ndarray, k: int = K, resolve: int = RESOLVE, depths: tuple[float, ...] = DEPTHS) -> list[tuple[np.ndarray, float]]:
+        """For each query, the rows that can still be among its k best, and the share of its lists that was read.
 
-        mine: rows that are no candidates of this query.
+        mine: queries x rows, rows that are no candidates of a query.
         """
-        left = np.flatnonzero(~mine)
-        if len(left) <= max(k, resolve) or not len(q):
-            return left, 0.0
-        n, plus, weight = self.n, q > 0, q * q
-        far = q * np.where(plus, self.lists[0], self.lists[-1])
-        known, seen_length, before = np.zeros(len(left)), np.zeros(len(left)), 0
-        slack = 1e-9 * np.abs(q).sum() * max(np.abs(self.lists[0]).max(), np.abs(self.lists[-1]).max()) + 0.5
+        out = [(np.flatnonzero(~m), 0.0) for m in mine]
+        live = np.array([i for i, (left, _) in enumerate(out) if len(left) > max(k, resolve)], dtype=np.int64)
+        n, rows = self.n, np.arange(self.n)
+        known = np.zeros((len(live), n), dtype=np.float32)
+        seen, before = np.zeros_like(known), 0
         for share in depths:
             depth = min(n, max(1, round(share * n)))
-            if depth == n and share < 1:
-                continue
-            place = np.where(plus, n - 1 - self.rank[left], self.rank[left])  # places from the end that is read first
-            x, fresh = self.x[left], (place >= before) & (place < depth)
-            new = np.where(fresh, x, 0)
-            known += new @ q
-            seen_length += (new * new).sum(axis=1)
-            unread = (place >= depth).astype(np.float64)
-            front = q * np.where(plus, self.lists[n - depth], self.lists[depth - 1])
-            by_length = np.sqrt(np.maximum(self.length[left] - seen_length, 0) * (unread @ weight))
-            upper = known + np.minimum(unread @ front, by_length) + slack
-            lower = known + np.maximum(unread @ far, -by_length) - slack
-            stay = upper >= np.partition(lower, len(left) - k)[len(left) - k]
-            left, known, seen_length, before = left[stay], known[stay], seen_length[stay], depth
-            if len(left) <= max(k, resolve):
+            if not len(live) or depth == n:
                 break
-        return left, before / n
+            q, rank, x = queries[live].astype(np.float32), self.rank[rows], self.x[rows]
+            both = np.concatenate([np.maximum(q, 0), np.minimum(q, 0)], axis=1)  # what reads from the top, what from the bottom
+            new = np.concatenate([np.where((rank >= n - depth) & (rank < n - before), x, 0), np.where((rank < depth) & (rank >= before), x, 0)], axis=1)
+            known += both @ new.T
+            seen += (both != 0).astype(np.float32) @ (new * new).T
+            unread = np.concatenate([rank < n - depth, rank >= depth], axis=1).astype(np.float32)
+            front = both * np.concatenate([self.lists[n - depth], self.lists[depth - 1]])
+            # Sums of float32 are off by some millionths of their terms' sizes.
+            slack = (1e-5 * np.abs(both) @ np.tile(np.abs(self.lists[[0, -1]]).max(axis=0), 2) + 1)[:, None]
+            by_length = np.sqrt(np.maximum(self.length[rows] * np.float32(1 + 1e-5) - seen, 0) * ((both * both) @ unread.T)) * np.float32(1 + 1e-5)
+            others = ~mine[np.ix_(live, rows)]
+            upper = np.where(others, known + np.minimum(front @ unread.T, by_length) + slack, -np.inf)
+            lower = np.where(others, known - by_length - slack, -np.inf)
+            edge = np.partition(lower, len(rows) - k, axis=1)[:, len(rows) - k] if len(rows) > k else np.full(len(live), -np.inf)
+            stay = others & (upper >= edge[:, None])
+            for i, line in zip(live, stay, strict=True):
+                out[i] = (rows[line], depth / n)
+            reading = stay.sum(axis=1) > max(k, resolve)
+            some = stay[reading].any(axis=0)
+            live, rows, known, seen, before = live[reading], rows[some], known[reading][:, some], seen[reading][:, some], depth
+        for i in live:
+            out[i] = (out[i][0], 1.0)
+        return out
 
 
 def top_of_block(x: np.ndarray, names: np.ndarray, q: np.ndarray, q_names: np.ndarray, k: int = K, resolve: int = RESOLVE) -> list[tuple[int, int, int, float]]:
@@ -118,13 +127,15 @@ def top_of_block(x: np.ndarray, names: np.ndarray, q: np.ndarray, q_names: np.nd
     if peak >= 1 << 63:
         raise OverflowError("scores beyond 64 bits")
     exact = peak >= 1 << 53
-    block = None if exact else Block(x)
-    for row, name in zip(q, q_names, strict=True):
-        mine = names == name
-        left, share = (np.flatnonzero(~mine), 1.0) if exact else block.survivors(row.astype(np.float64), mine, k, resolve)
-        scores = np.array([int(s) for s in x[left].astype(object) @ row.astype(object)], dtype=np.int64) if exact else x[left] @ row
-        best = np.lexsort((names[left], -scores))[:k]
-        out += [(int(name), int(names[left[b]]), int(scores[b]), share) for b in best]
+    block, kind = (None, object) if exact else (Block(x), np.float64)
+    full = x.astype(kind)
+    for a in range(0, len(q), BATCH):
+        mine = q_names[a : a + BATCH, None] == names[None, :]
+        found = [(np.flatnonzero(~m), 1.0) for m in mine] if exact else block.survivors(q[a : a + BATCH], mine, k, resolve)
+        for row, name, (left, share) in zip(q[a : a + BATCH], q_names[a : a + BATCH], found, strict=True):
+            scores = (full[left] @ row.astype(kind)).astype(np.int64)
+            best = np.lexsort((names[left], -scores))[:k]
+            out += [(int(name), int(names[left[b]]), int(scores[b]), share) for b in best]
     return out
 
 
