@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from equiweave.llm.shared import materialize
+from equiweave.llm.shared import discard, materialize
 
 
 def components(links: DataFrame, tag: str, most_rounds: int = 60) -> DataFrame:
@@ -21,18 +21,20 @@ def components(links: DataFrame, tag: str, most_rounds: int = 60) -> DataFrame:
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .distinct()
     )
-    edges = materialize(edges, f"{tag}-links", few=True)
+    edges = materialize(edges, f"{tag}-links")
+    most = 2 * edges.count()
     before = None
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        lowest = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), f"{tag}-low", few=True)
-        large = both.join(lowest, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = materialize(large.where("a != b").distinct(), f"{tag}-large", few=True)
-        lowest = materialize(large.groupBy("a").agg(F.min("b").alias("m")), f"{tag}-low", few=True)
+        low = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), f"{tag}-low", most)
+        large = both.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = materialize(large.where("a != b").distinct(), f"{tag}-large", most)
+        lowest = materialize(large.groupBy("a").agg(F.min("b").alias("m")), f"{tag}-low", most)
         small = large.join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.unionByName(lowest.select("a", F.col("m").alias("b"))).where("a != b").distinct()
-        edges = materialize(small, f"{tag}-links", few=True)
+        old, edges = edges, materialize(small, f"{tag}-links", most)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        discard(old, low, large, lowest)
         if now == before:
             break
         before = now

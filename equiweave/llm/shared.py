@@ -7,6 +7,8 @@ another character, so bytes give the same words as code points do.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import ctypes
 import os
 import tempfile
@@ -17,13 +19,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 1 << 20
+#: Bytes hashed at once.
+PIECE = 1 << 22
 #: Rows of an Arrow batch that holds whole texts.
 BATCH_ROWS = 500
+#: Rows of a file of a scratch table whose rows are a few numbers each.
+FILE_ROWS = 1 << 20
 
-_made: list[str] = []
+_made: list[tuple[object, object]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -39,28 +46,41 @@ def scratch_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
     path = f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
-    _made.append(path)
+    if not _made:
+        atexit.register(drop_scratch)
+    sc = spark.sparkContext
+    _made.append((sc._jvm.org.apache.hadoop.fs.Path(path), sc._jsc.hadoopConfiguration()))
     return path
 
 
-def materialize(df: DataFrame, tag: str, few: bool = False) -> DataFrame:
+def materialize(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and outlives lost executors.
 
-    few: for tables of small rows after a shuffle; two files for each core of the cluster at most.
+    rows: for tables of a few numbers a row that come from a shuffle, the most rows there can be; they
+    are written in files of about FILE_ROWS rows, or two for each core if that is more.
     """
     path = scratch_path(df.sparkSession, tag)
-    out = df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism) if few else df
+    out = df if rows is None else df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
     out.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Delete every scratch table of this process; results not yet written need them."""
-    jvm = spark.sparkContext._jvm
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    while _made:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
-        path.getFileSystem(hadoop).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete scratch tables that nothing will read again."""
+    gone = {str(f).rsplit("/", 1)[0].rsplit("/", 1)[-1] for t in tables for f in t.inputFiles()[:1]}
+    _delete([x for x in _made if x[0].getName() in gone])
+
+
+def drop_scratch() -> None:
+    """Delete every scratch table of this process; results not yet written need them. Runs at exit."""
+    _delete(list(_made))
+
+
+def _delete(entries: list[tuple[object, object]]) -> None:
+    for entry in entries:
+        _made.remove(entry)
+        with contextlib.suppress(Exception):  # the JVM may have ended before the process
+            entry[0].getFileSystem(entry[1]).delete(entry[0], True)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,6 +107,18 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+def bounded_sample(docs: DataFrame, ids: DataFrame, rows: int, most_bytes: int) -> DataFrame:
+    """key and text of at most `rows` rows of docs (key, text) whose key is in ids (key), by hash of key, key and text,
+    up to the first with which there would be more than most_bytes bytes of text. Nulls are no keys."""
+    order = [F.xxhash64("key"), F.col("key"), F.xxhash64("text")]
+    sizes = docs.select("key", F.xxhash64("text").alias("th"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"), *[c.alias(f"o{i}") for i, c in enumerate(order)])
+    sizes = sizes.join(ids.distinct(), "key").orderBy("o0", "o1", "o2").limit(rows)
+    total = F.sum("bytes").over(Window.orderBy("o0", "o1", "o2").rowsBetween(Window.unboundedPreceding, 0))  # at most `rows` rows
+    chosen = sizes.withColumn("total", total).where(F.col("total") <= most_bytes).select("key", "th").distinct()
+    found = docs.withColumn("th", F.xxhash64("text")).join(F.broadcast(chosen), ["key", "th"])  # at most `rows` rows
+    return found.orderBy(*order).limit(rows).select("key", "text")
+
+
 def word_count(text: Column) -> Column:
     """Number of words; null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
@@ -125,14 +157,15 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def _power_table(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept for the next call."""
+    """base**0 .. base**(n-1) modulo 2**64, kept for the next call unless there are far more than usual."""
     have = _powers.get(base)
     if have is None or len(have) < n:
         size = 1 << max(16, (n - 1).bit_length())
         have = np.full(size, base, dtype=np.uint64)
         have[0] = 1
         have = np.multiply.accumulate(have)
-        _powers[base] = have
+        if size <= 2 * PIECE:
+            _powers[base] = have
     return have[:n]
 
 
@@ -186,12 +219,22 @@ def word_spans(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def hash_spans(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span, from prefix sums of one polynomial."""
-    n = len(flat)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * _power_table(_BASE, n + 1)[:n], out=sums[1:])
-    value = (sums[ends] - sums[starts]) * _power_table(_BASE_INVERSE, n + 1)[starts]
-    return mix(value ^ ((ends - starts).astype(np.uint64) << np.uint64(40)))
+    """A 64-bit hash of each byte span, from prefix sums of one polynomial; spans ascend and do not overlap.
+
+    Works on runs of spans of about PIECE bytes, so that a very long text needs no longer tables.
+    """
+    out = np.empty(len(starts), dtype=np.uint64)
+    first = 0
+    while first < len(starts):
+        low = int(starts[first])
+        end = max(first + 1, int(np.searchsorted(ends, low + PIECE, "right")))
+        part, a, b = flat[low : int(ends[end - 1])], starts[first:end] - low, ends[first:end] - low
+        sums = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * _power_table(_BASE, len(part) + 1)[: len(part)], out=sums[1:])
+        value = (sums[b] - sums[a]) * _power_table(_BASE_INVERSE, len(part) + 1)[a]
+        out[first:end] = mix(value ^ ((b - a).astype(np.uint64) << np.uint64(40)))
+        first = end
+    return out
 
 
 def window_hashes(words: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
