@@ -11,8 +11,9 @@ chunk the first occurrence stays, by doc_id (nulls last), text hash and place; t
 others are removed. The first occurrence of a line is in no later occurrence of a chunk, so of
 every line one stays.
 
-What moves: one small row for each chunk, about one for each line; the bytes of chunks that a Bloom filter of fixed
-size takes for repeated; and, to apply the removals, each text once. The aggregations are combined
+What moves: one small row for each chunk, about one for each line; the bytes of chunks that a Bloom filter, sized by
+the number of repeated hashes, takes for repeated; and, to apply the removals, each text once. Where the filter would
+have more than MOST_BITS bits, the repeated chunks' places are joined to the documents instead. The aggregations are combined
 before the shuffle, so a chunk that a third of all documents have is one row for each task.
 
 Defined cases: null and empty texts have no chunks and stay as they are; a text all of whose lines
@@ -22,7 +23,7 @@ columns are kept as they came.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,8 +35,8 @@ from pyspark.sql import functions as F
 from equiweave.llm.shared import fresh, materialize, rows_at_once, small_batches
 
 MIN_LINES, LONG_WORDS = 2, 50
-#: Bits of the filter of repeated chunk hashes (2 MB) and probes for each hash.
-FILTER_BITS, PROBES = 1 << 24, 3
+#: The filter of repeated chunk hashes: bits for each hash, probes, and the most bits that are broadcast (16 MB).
+HASH_BITS, PROBES, MOST_BITS = 16, 3, 1 << 27
 
 
 def chunks(text: bytes) -> Iterator[tuple[int, int, bool]]:
@@ -92,62 +93,86 @@ def chunk_table(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc long, th long, place int, h1 long, h2 long")
 
 
-def _probe(h1: np.ndarray, h2: np.ndarray, k: int) -> np.ndarray:
-    return (h1 % FILTER_BITS + k * (h2 % FILTER_BITS)) % FILTER_BITS
+def _probe(h1: np.ndarray, h2: np.ndarray, k: int, bits: int) -> np.ndarray:
+    return (h1 % bits + k * (h2 % bits)) % bits
 
 
-def hash_filter(hashes: DataFrame) -> np.ndarray:
-    """The Bloom filter of hashes (h1, h2): FILTER_BITS / 32 words, whatever the number of hashes."""
-    size = F.lit(FILTER_BITS)
+def hash_filter(hashes: DataFrame, bits: int) -> np.ndarray:
+    """The Bloom filter of hashes (h1, h2), as 32-bit words."""
+    size = F.lit(bits)
     places = hashes.select(F.explode(F.array(*[F.pmod(F.pmod("h1", size) + F.lit(k) * F.pmod("h2", size), size) for k in range(PROBES)])).alias("p"))
     bit = F.expr("shiftleft(1L, cast(pmod(p, 32) AS int))")
     found = places.groupBy(F.shiftright("p", 5).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
-    words = np.zeros(FILTER_BITS // 32, dtype=np.uint32)
+    words = np.zeros(bits // 32, dtype=np.uint32)
     words[found.column(0).to_numpy()] = found.column(1).to_numpy().astype(np.uint32)
     return words
 
 
-def chunk_bytes(docs: DataFrame, words: np.ndarray) -> DataFrame:
+BYTES = "doc long, th long, place int, h1 long, h2 long, bytes binary"
+
+
+def _chosen(batches: Iterator[pa.RecordBatch], hit: Callable[[int, pa.RecordBatch, list[int], np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """chunk_table's columns and the bytes of the chunks that `hit` (row, batch, places, hashes) chooses."""
+    for batch in rows_at_once(batches):
+        rows, places, hashes, parts = [], [], [], []
+        for row, text in enumerate(_texts(batch.column(2))):
+            own = list(_hashed(text))
+            for (place, h, part), yes in zip(own, hit(row, batch, [x for x, _, _ in own], _halves([h for _, h, _ in own])), strict=True):
+                if yes:
+                    rows.append(row)
+                    places.append(place)
+                    hashes.append(h)
+                    parts.append(part)
+        at, pairs = pa.array(rows, pa.int64()), _halves(hashes)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).take(at), batch.column(1).take(at), pa.array(places, pa.int32()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(parts, pa.binary())],
+            ["doc", "th", "place", "h1", "h2", "bytes"],
+        )
+
+
+def filtered_bytes(docs: DataFrame, words: np.ndarray) -> DataFrame:
     """chunk_table's columns and the bytes, of the chunks that the filter takes for repeated."""
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
-        for batch in rows_at_once(batches):
-            rows, places, hashes, parts = [], [], [], []
-            for row, text in enumerate(_texts(batch.column(2))):
-                own = list(_hashed(text))
-                pairs = _halves([h for _, h, _ in own])
-                hit = np.ones(len(own), dtype=bool)
-                for k in range(PROBES):
-                    at = _probe(pairs[:, 0], pairs[:, 1], k)
-                    hit &= (bits[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool)
-                for (place, h, part), yes in zip(own, hit, strict=True):
-                    if yes:
-                        rows.append(row)
-                        places.append(place)
-                        hashes.append(h)
-                        parts.append(part)
-            at, pairs = pa.array(rows, pa.int64()), _halves(hashes)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array(places, pa.int32()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(parts, pa.binary())],
-                ["doc", "th", "place", "h1", "h2", "bytes"],
-            )
 
-    return docs.mapInArrow(run, "doc long, th long, place int, h1 long, h2 long, bytes binary")
+        def hit(row: int, batch: pa.RecordBatch, places: list[int], pairs: np.ndarray) -> np.ndarray:
+            out = np.ones(len(pairs), dtype=bool)
+            for k in range(PROBES):
+                at = _probe(pairs[:, 0], pairs[:, 1], k, 32 * len(bits))
+                out &= (bits[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool)
+            return out
+
+        return _chosen(batches, hit)
+
+    return docs.mapInArrow(run, BYTES)
+
+
+def joined_bytes(docs: DataFrame, table: DataFrame, again: DataFrame) -> DataFrame:
+    """The same for the repeated chunks themselves, whose places are joined to the documents instead of filtered."""
+    wanted = table.join(again, ["h1", "h2"]).groupBy(F.col("doc").alias("_d"), F.col("th").alias("_t")).agg(F.collect_set("place").alias("places"))
+    own = docs.join(wanted.hint("shuffle_hash"), F.col("doc").eqNullSafe(F.col("_d")) & F.col("th").eqNullSafe(F.col("_t"))).select("doc", "th", "text", "places")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _chosen(batches, lambda row, batch, places, pairs: np.isin(places, batch.column(3)[row].as_py()))
+
+    return own.mapInArrow(run, BYTES)
 
 
-def removals(docs: DataFrame) -> DataFrame:
+def removals(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     """doc, th and places (first lines of the chunks to remove) of the documents that lose lines."""
     small_batches(docs.sparkSession)
     table = materialize(chunk_table(docs), "lines-chunks")
     again = table.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-    read = chunk_bytes(docs, hash_filter(materialize(again, "lines-again", few=True)))
+    again = materialize(again, "lines-again", table.count() // 2)
+    bits = 1 << max(20, (HASH_BITS * again.count() - 1).bit_length())
+    read = filtered_bytes(docs, hash_filter(again, bits)) if bits <= most_bits else joined_bytes(docs, table, again)
     order = F.struct(F.col("doc").isNull().alias("last"), "doc", "th", "place")
     groups = read.groupBy("h1", "h2").agg(
         F.count("*").alias("n"), F.min("bytes").alias("low"), F.max("bytes").alias("high"), F.min(order).alias("first")
     )
-    groups = materialize(groups.where("n > 1 and low = high").select("h1", "h2", "first"), "lines-groups", few=True)
+    groups = materialize(groups.where("n > 1 and low = high").select("h1", "h2", "first"), "lines-groups", again.count())
     return table.join(groups, ["h1", "h2"]).where(order != F.col("first")).groupBy("doc", "th").agg(F.collect_set("place").alias("places"))
 
 
