@@ -10,8 +10,8 @@ and as the largest and least mean among PARTS stretches of it. A network of two
 gives a logit; one temperature, fitted on part of the sample that the network has not seen, turns
 it into a probability.
 
-The sample: SAMPLE labelled rows at most, the ones with the smallest hash of doc_id, never from
-the held-out fold crc32(doc_id as text) mod FOLDS = 0. Everything else covers all rows. The model
+The sample: SAMPLE labelled rows and SAMPLE_BYTES bytes of text at most, the ones with the smallest
+hash of doc_id, never from the held-out fold crc32(doc_id as text) mod FOLDS = 0. Everything else covers all rows. The model
 (about 4 MB, whatever the corpus) is fitted on the driver and broadcast.
 
 Defined cases: null text is empty; text without tokens gets the score of an empty document; a
@@ -30,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from equiweave.llm.shared import hash_spans, lower_ascii, release_memory, slices, small_batches, utf8
+from equiweave.llm.shared import bounded_sample, hash_spans, lower_ascii, release_memory, slices, small_batches, utf8
 
 FOLDS = 5
-SAMPLE = 8_000
+SAMPLE, SAMPLE_BYTES = 8_000, 64 << 20
 THRESHOLD = 0.3
 BUCKETS, DIM, SEEDS = 1 << 15, 64, 4
 PARTS = 6
@@ -171,18 +171,18 @@ def temperature(z: np.ndarray, y: np.ndarray) -> float:
 
 
 def fit(texts: pa.Array, y: np.ndarray) -> Model:
-    """Fit on sample rows in their given order; every fifth serves the temperature."""
+    """Fit on sample rows in their given order; every fifth serves the temperature and nothing else."""
     y = y.astype(np.float64)
     if not 0 < y.sum() < len(y) or len(y) < 20:
         share = float(y.mean()) if len(y) else 0.5
         return Model(np.zeros((0, DIM), np.float32), np.zeros(0), np.ones(0), [], 1.0, share)
+    last = np.arange(len(y)) % 5 == 4
     index = index_vectors()
-    words = word_vectors(texts, index)
+    words = word_vectors(texts.filter(pa.array(~last)), index)
     flat, at = utf8(texts)
     x = np.concatenate([pooled(part, part_at, words, index) for _, _, part, part_at in slices(flat, at, SLICE)]).astype(np.float64)
-    mean, scale = x.mean(0), x.std(0) + 1e-4
+    mean, scale = x[~last].mean(0), x[~last].std(0) + 1e-4
     x = (x - mean) / scale
-    last = np.arange(len(y)) % 5 == 4
     layers = train(x[~last], y[~last])
     return Model(words.astype(np.float16), mean, scale, layers, temperature(logits(x[last], layers), y[last]))
 
@@ -198,14 +198,13 @@ def predict(model: Model, texts: pa.Array, index: np.ndarray, words: np.ndarray)
     return np.concatenate(out)
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
-    """text and quality of the labelled rows to learn from, at most `size`, in hash order."""
+def training_sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """text and quality of the labelled rows to learn from, in hash order."""
     marked = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    marked = marked.groupBy(F.col("doc_id").alias("_doc")).agg(F.max("quality").cast("int").alias("_quality"))
-    # Labels may name documents that are not there, so the limit comes after the join; it moves ids only.
-    chosen = docs.select(F.col("doc_id").alias("_doc")).distinct().join(marked, "_doc").orderBy(F.xxhash64("_doc"), "_doc").limit(size)
-    rows = docs.select(F.col("doc_id").alias("_doc"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "_doc")
-    return rows.orderBy(F.xxhash64("_doc"), "_doc", "text").limit(size).select("text", "_quality")
+    marked = marked.groupBy(F.col("doc_id").alias("key")).agg(F.max("quality").cast("int").alias("_quality"))
+    rows = docs.select(F.col("doc_id").alias("key"), F.col("text").cast("string").alias("text"))
+    found = bounded_sample(rows, marked.select("key"), size, most_bytes)
+    return found.join(marked, "key").orderBy(F.xxhash64("key"), "key", F.xxhash64("text")).select("text", "_quality")
 
 
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

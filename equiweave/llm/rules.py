@@ -3,8 +3,8 @@
 Base counts of a whole text: words, code points in words, characters of ``[#*$%&|<>]``, lines with
 a word that equal an earlier line, and words inside 8-word windows that occur twice or more. A base
 failure (too few or too often repeated words) ends the cascade; what is left goes through RULES in
-the order of rejection per cost. Both are estimated on the SAMPLE rows with the smallest hash of
-doc_id: cost is the measured time of a rule on the sample, rejection its share of rejected texts.
+the order of rejection per cost. Both are estimated on at most SAMPLE rows and SAMPLE_BYTES bytes of
+text, those with the smallest hash of doc_id: cost is the measured time of a rule on the sample, rejection its share of rejected texts.
 A rule sees only the texts that no earlier rule rejected. The order changes the work, never the
 verdict, which is the conjunction of all rules, so reruns agree although times differ.
 
@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from equiweave.llm.shared import hash_spans, rows_at_once, slices, small_batches, utf8, window_hashes, word_spans
+from equiweave.llm.shared import bounded_sample, hash_spans, rows_at_once, slices, small_batches, utf8, window_hashes, word_spans
 
-SAMPLE = 1_000
+SAMPLE, SAMPLE_BYTES = 1_000, 16 << 20
 WINDOW = 8
 LEAST_WORDS = 20
 REPEAT_PERCENT = 30
@@ -182,8 +182,9 @@ def judge(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, the base counts, base_failed and kept of each row of docs."""
     small_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    ids = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = [r[0] or "" for r in rows.join(F.broadcast(ids.distinct()), "doc_id").select("text").limit(sample).collect()]
+    keyed = rows.select(F.col("doc_id").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    ids = keyed.select("key").distinct().orderBy(F.xxhash64("key"), "key").limit(sample)
+    texts = [r.text for r in bounded_sample(keyed, ids, sample, SAMPLE_BYTES).collect()]
     order = order_rules(texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
