@@ -280,16 +280,17 @@ def test_bounds_stop_with_exact_scores(scale):
 def test_outsiders_are_dropped_before_the_lists_end_and_never_wrongly():
     r = np.random.default_rng(9)
     x = np.floor(r.normal(size=(3000, 64)) * 32).astype(np.int64)
-    block, nobody = topk.Block(x), np.zeros(3000, bool)
-    for q in x[:30].astype(np.float64):
-        scores = x @ q
-        left, share = block.survivors(q, nobody, 5, 64)
-        assert share < 1 and len(left) <= 64
-        assert set(np.flatnonzero(scores >= np.sort(scores)[-5])) <= set(left)
-        # Each round's bounds hold: whoever is dropped has a lower score than the k-th best.
-        for depths in ((0.25,), (0.5,), (0.5, 0.75), (0.9,)):
-            some, _ = block.survivors(q, nobody, 5, 5, depths)
-            assert set(np.flatnonzero(scores >= np.sort(scores)[-5])) <= set(some)
+    block, nobody = topk.Block(x), np.zeros((30, 3000), bool)
+    # Each round's bounds hold: whoever is dropped has a lower score than the k-th best.
+    for depths, resolve in (((0.25,), 5), ((0.5,), 5), ((0.5, 0.75), 5), ((0.9,), 5), (topk.DEPTHS, topk.RESOLVE)):
+        for q, (left, _) in zip(x[:30], block.survivors(x[:30], nobody, 5, resolve, depths), strict=True):
+            scores = x @ q
+            assert set(np.flatnonzero(scores >= np.sort(scores)[-5])) <= set(left)
+    found = block.survivors(x[:30], nobody)
+    assert all(share < 1 and len(left) <= topk.RESOLVE for left, share in found)
+    # Where few coordinates matter, half of the lists is enough.
+    few = x * np.array([40, 20, 10] + [1] * 61)
+    assert {share for _, share in topk.Block(few).survivors(few[:30], nobody)} == {0.5}
 
 
 def test_wrong_bounds_would_be_noticed(monkeypatch):
@@ -301,7 +302,6 @@ def test_wrong_bounds_would_be_noticed(monkeypatch):
 
     def shorter(self, rows):
         real(self, rows)
-        self.lists = self.lists * 0.2
         self.length = self.length * 0.05
 
     monkeypatch.setattr(topk.Block, "__init__", shorter)
@@ -366,6 +366,48 @@ def test_large_groups_of_near_copies(spark):
     assert got == brute_components(rows)
 
 
+def template_texts(n, seed, keep=0.93, words=120):
+    """Texts of one template, each word kept with probability `keep`: similarities of 0.3 to 0.6."""
+    rnd = random.Random(seed)
+    base = [f"t{rnd.randrange(9999)}" for _ in range(words)]
+    return [" ".join(w if rnd.random() < keep else f"y{rnd.randrange(10**9)}" for w in base) for _ in range(n)]
+
+
+@pytest.mark.parametrize("n", [300, 900])
+def test_texts_of_one_template_are_not_compared_with_each_other(spark, monkeypatch, n):
+    """Members of candidate chains at lower similarity: signatures settle them, few texts are compared."""
+    texts = template_texts(n, 3)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counted = []
+    real = minhash.confirmed_links
+
+    def counting(texts_, groups, *more):
+        counted.append(minhash.block_pairs(groups, minhash.BLOCK).groupBy("component", "i", "j").count().agg({"count": "sum"}).first()[0] or 0)
+        return real(texts_, groups, *more)
+
+    monkeypatch.setattr(minhash, "confirmed_links", counting)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect()}
+    assert got == brute_components(list(enumerate(texts)))
+    assert counted[0] < 4 * n
+
+
+def test_links_that_no_bucket_hub_has_are_found(spark):
+    """Chains: neighbours are near, ends are not; the smallest document of a bucket is near few of its members."""
+    rnd = random.Random(8)
+    rows = []
+    for c in range(6):
+        words = [f"c{c}w{rnd.randrange(9999)}" for _ in range(150)]
+        for k in range(60):
+            rows.append((c * 1000 + rnd.randrange(900), " ".join(words)))
+            words[rnd.randrange(150)] = f"z{rnd.randrange(10**9)}"
+            if k % 2:
+                words[rnd.randrange(150)] = f"z{rnd.randrange(10**9)}"
+    rows = list(dict(rows).items())
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect()}
+    assert got == brute_components(rows)
+
+
 def test_sketches_fill_and_estimate():
     rnd = np.random.default_rng(3)
     a = np.unique(rnd.integers(0, 1 << 62, 400, dtype=np.uint64))
