@@ -77,12 +77,16 @@ def label_d(triples: DataFrame) -> DataFrame:
     return _english_first(triples, LABELS_D, "label")
 
 
+def predicate_labels(triples: DataFrame) -> DataFrame:
+    """graph_id, p, p_label of each subject with an rdfs:label tagged exactly en or untagged: the first."""
+    rows = _literals(triples, [LABEL]).where("o_lang is null or o_lang = 'en'")
+    return rows.groupBy("graph_id", F.col("s").alias("p")).agg(F.min_by("o", "ord").alias("p_label"))
+
+
 def label_e(triples: DataFrame) -> DataFrame:
     """graph_id, p, label of each predicate in use: first rdfs:label tagged exactly en or untagged, else the local name."""
     used = triples.select("graph_id", "p").distinct()
-    rows = _literals(triples, [LABEL]).where("o_lang is null or o_lang = 'en'")
-    chosen = rows.groupBy("graph_id", F.col("s").alias("p")).agg(F.min_by("o", "ord").alias("label"))
-    return used.join(chosen, ["graph_id", "p"], "left").select("graph_id", "p", F.coalesce("label", local_name_c(F.col("p"))).alias("label"))
+    return used.join(predicate_labels(triples), ["graph_id", "p"], "left").select("graph_id", "p", F.coalesce("p_label", local_name_c(F.col("p"))).alias("label"))
 
 
 def label_or_local(triples: DataFrame, uris: DataFrame) -> DataFrame:
@@ -137,14 +141,11 @@ def star(triples: DataFrame) -> DataFrame:
 
 
 def rendered(triples: DataFrame) -> DataFrame:
-    """star(triples) with text `key: value` of each triple."""
-    stars = star(triples)
-    names = label_e(triples).withColumnRenamed("label", "p_label")
-    objects = label_or_local(triples, stars.where("o_kind = 'uri'").select("graph_id", F.col("o").alias("uri")).distinct())
-    objects = objects.select("graph_id", F.col("uri").alias("o"), F.lit("uri").alias("o_kind"), F.col("label").alias("o_label"))
-    joined = stars.join(names, ["graph_id", "p"]).join(objects, ["graph_id", "o", "o_kind"], "left")
-    key = F.when(F.col("p") == TYPE, "type").otherwise(F.col("p_label"))
-    value = F.when(F.col("o_kind") == "lit", literal_text(F.col("o"))).otherwise(F.col("o_label"))
+    """star(triples) with text `key: value` of each triple. Labels are joined to it; their fallbacks need no table of names."""
+    own = label_c(triples).select("graph_id", F.col("uri").alias("o"), F.lit("uri").alias("o_kind"), F.col("label").alias("o_label"))
+    joined = star(triples).join(predicate_labels(triples), ["graph_id", "p"], "left").join(own, ["graph_id", "o", "o_kind"], "left")
+    key = F.when(F.col("p") == TYPE, "type").otherwise(F.coalesce("p_label", local_name_c(F.col("p"))))
+    value = F.when(F.col("o_kind") == "lit", literal_text(F.col("o"))).when(F.col("o_kind") == "uri", or_else(F.col("o_label"), local_name_c(F.col("o"))))
     return joined.withColumn("value", value).withColumn("text", F.concat_ws(": ", key, F.col("value")))
 
 

@@ -1,7 +1,9 @@
 """Text strategies V1 to V8 and their composites, for all entities of a triple table at once.
 
 Each strategy takes triples and entities (graph_id, uri, entity_type) and gives graph_id, uri, text.
-Budgets, where given, are applied by Arrow UDFs; everything before is joins and column functions.
+A strategy's parts (its text, items in their order, ancestors and siblings) are joins and column
+functions. Without a budget they are joined by column functions too; with one, an Arrow UDF fits
+them, a composite's components one after the other, each to what the ones before it left.
 """
 
 from __future__ import annotations
@@ -9,11 +11,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+from typing import Any
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from equiweave.functions.budget import Budget, cut_text, fitted, joined
+from equiweave.functions.budget import Budget, cut_text, fit_items, fit_prefix, joined
 from equiweave.functions.text import join_parts, local_name_c, or_else, plain_literal_text
 from equiweave.operators import graph
 from equiweave.operators.labels import annotation_values, label_c, label_d, label_e, label_or_local, rendered, star
@@ -78,8 +82,8 @@ def _with_items(entities: DataFrame, items: DataFrame) -> DataFrame:
     return entities.join(items, KEY, "left").withColumn("items", F.coalesce("items", none))
 
 
-def v3(triples: DataFrame, entities: DataFrame, budget: Budget = UNCAPPED) -> DataFrame:
-    """Sentences in tier order; literals tagged anything but exactly en are left out."""
+def v3_parts(triples: DataFrame, entities: DataFrame) -> DataFrame:
+    """items: sentences in tier order; literals tagged anything but exactly en are left out."""
     entities = check_types(entities)
     stars = star(triples).withColumnRenamed("s", "uri").join(entities, KEY)
     stars = stars.where("o_kind <> 'lit' or o_lang is null or o_lang = 'en'")
@@ -100,77 +104,47 @@ def v3(triples: DataFrame, entities: DataFrame, budget: Budget = UNCAPPED) -> Da
     for predicate, template in SENTENCES.items():
         text = F.when(F.col("p") == predicate, filled(template)).otherwise(text)
     rows = rows.withColumn("text", text).withColumn("tier", tier_of(F.col("p"), F.col("entity_type"))).where("text <> ''")
-    return _with_items(entities, _ordered(rows, "tier", "n")).select(*KEY, fitted(F.col("items"), " ", budget).alias("text"))
+    return _with_items(entities, _ordered(rows, "tier", "n")).select(*KEY, "items")
 
 
 def _pairs(triples: DataFrame, entities: DataFrame) -> DataFrame:
     return rendered(triples).withColumnRenamed("s", "uri").join(entities, KEY).where("text <> ''")
 
 
-def v4(triples: DataFrame, entities: DataFrame, budget: Budget = UNCAPPED) -> DataFrame:
-    """key: value pairs in canonical order; with a budget, large or overlong entities in instance tier order."""
+def v4_parts(triples: DataFrame, entities: DataFrame) -> DataFrame:
+    """items: key: value pairs in canonical order; tiered: the same in instance tier order, which large or overlong entities use under a budget."""
     rows = _pairs(triples, entities).withColumn("tier", tier_of(F.col("p"), F.lit("instance")))
-    plain = _ordered(rows, "n")
-    if budget.tokens is None:
-        return _with_items(entities, plain).select(*KEY, F.array_join("items", " | ").alias("text"))
-    tiered = _ordered(rows, "tier", "n").select(*KEY, F.col("items").alias("tiered"))
-    both = _with_items(entities, plain).join(tiered, KEY, "left")
-
-    def over(lists: pd.Series) -> pd.Series:
-        return lists.map(lambda x: not budget.fits(" | ".join(x)))
-
-    turn = (F.col("n_items") > TRIGGER) | F.pandas_udf(over, "boolean")("items")
-    return both.select(*KEY, fitted(F.when(turn, F.coalesce("tiered", "items")).otherwise(F.col("items")), " | ", budget).alias("text"))
+    run = F.collect_list(F.struct("tier", "n", "text"))
+    both = rows.groupBy(*KEY).agg(
+        F.transform(F.array_sort(F.transform(run, lambda x: F.struct(x["n"], x["text"]))), lambda x: x["text"]).alias("items"), F.transform(F.array_sort(run), lambda x: x["text"]).alias("tiered")
+    )
+    return _with_items(entities, both).select(*KEY, "items", F.coalesce("tiered", "items").alias("tiered"))
 
 
-def v5(triples: DataFrame, entities: DataFrame, budget: Budget = UNCAPPED) -> DataFrame:
-    """Walks, up to the first that does not fit; the label where there is no step."""
-    texts = graph.walk_texts(triples, graph.walks(triples, entities))
-    items = _ordered(texts, "walk")
+def v5_parts(triples: DataFrame, entities: DataFrame) -> DataFrame:
+    """items: walks; text: the label, for entities without a step."""
+    items = _ordered(graph.walk_texts(triples, graph.walks(triples, entities)), "walk")
     rows = _with_items(entities, items).join(label_or_local(triples, entities.select(*KEY).distinct()), KEY)
-    return rows.select(*KEY, F.when(F.size("items") == 0, F.col("label")).otherwise(fitted(F.col("items"), " | ", budget, how="prefix")).alias("text"))
+    return rows.select(*KEY, "items", F.col("label").alias("text"))
 
 
-def v6(triples: DataFrame, entities: DataFrame, budget: Budget = UNCAPPED) -> DataFrame:
-    """key: value pairs in the tier order of the entity type."""
+def v6_parts(triples: DataFrame, entities: DataFrame) -> DataFrame:
+    """items: key: value pairs in the tier order of the entity type."""
     entities = check_types(entities)
     rows = _pairs(triples, entities).withColumn("tier", tier_of(F.col("p"), F.col("entity_type")))
-    return _with_items(entities, _ordered(rows, "tier", "n")).select(*KEY, fitted(F.col("items"), " | ", budget).alias("text"))
+    return _with_items(entities, _ordered(rows, "tier", "n")).select(*KEY, "items")
 
 
-def v7(triples: DataFrame, entities: DataFrame, budget: Budget = UNCAPPED, annotation: bool = True) -> DataFrame:
-    """V2, then parents and siblings; over budget without siblings, then with fewer ancestors, farthest first."""
+def v7_parts(triples: DataFrame, entities: DataFrame, annotation: bool = True) -> DataFrame:
+    """text: V2, or empty; items: labels of the ancestors, nearest first; siblings: their labels."""
     entities = check_types(entities)
+    none = F.array().cast("array<string>")
     chain = graph.ancestors(triples, entities).select(*KEY, F.posexplode_outer("chain").alias("pos", "o"))
     labels = label_or_local(triples, chain.where("o is not null").select("graph_id", F.col("o").alias("uri")).distinct())
     labels = labels.select("graph_id", F.col("uri").alias("o"), F.col("label").alias("text"))
-    parents = _ordered(chain.join(labels, ["graph_id", "o"]), "pos").select(*KEY, F.col("items").alias("parents"))
-    rows = entities.join(parents, KEY, "left").join(graph.siblings(triples, entities), KEY, "left")
+    rows = _with_items(entities, _ordered(chain.join(labels, ["graph_id", "o"]), "pos")).join(graph.siblings(triples, entities), KEY, "left")
     rows = rows.join(v2(triples, entities), KEY, "left") if annotation else rows.withColumn("text", F.lit(""))
-
-    def compose(texts: pd.Series, above: pd.Series, beside: pd.Series) -> pd.Series:
-        def lines(a: list[str], b: list[str], head: str) -> str:
-            tail = "\n".join([f"Parents: {' -> '.join(a)}."] * bool(a) + [f"Related types include: {', '.join(b)}."] * bool(b))
-            return f"{head}\n\n{tail}" if head and tail else head or tail
-
-        out = []
-        for head, a, b in zip(texts, above, beside, strict=True):
-            a, b = list(a if a is not None else []), list(b if b is not None else [])
-            text = lines(a, b, head)
-            if not budget.fits(text):
-                text = lines(a, [], head)
-                while a and not budget.fits(text):
-                    del a[-1]
-                    text = lines(a, [], head)
-            out.append(text)
-        return pd.Series(out)
-
-    if budget.tokens is None:
-        up = F.when(F.size(F.coalesce("parents", F.array().cast("array<string>"))) > 0, F.concat(F.lit("Parents: "), F.array_join("parents", " -> "), F.lit(".")))
-        side = F.when(F.size(F.coalesce("siblings", F.array().cast("array<string>"))) > 0, F.concat(F.lit("Related types include: "), F.array_join("siblings", ", "), F.lit(".")))
-        tail = F.nullif(F.concat_ws("\n", up, side), F.lit(""))
-        return rows.select(*KEY, F.concat_ws("\n\n", F.nullif(F.col("text"), F.lit("")), tail).alias("text"))
-    return rows.select(*KEY, F.pandas_udf(compose, "string")("text", "parents", "siblings").alias("text"))
+    return rows.select(*KEY, "items", F.coalesce("siblings", none).alias("siblings"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def v8(triples: DataFrame, entities: DataFrame) -> DataFrame:
@@ -193,58 +167,102 @@ def v8(triples: DataFrame, entities: DataFrame) -> DataFrame:
     return rows.select(*KEY, F.concat_ws("\n", *header, relations("Outgoing", "outgoing"), relations("Incoming", "incoming")).alias("text"))
 
 
-Strategy = Callable[..., DataFrame]
-COMPONENTS: dict[str, Strategy] = {"V1": v1, "V2": v2, "V3": v3, "V4": v4, "V5": v5, "V6": v6, "V7": v7, "V8": v8}
-#: Components that are held to a budget.
-BUDGETED = frozenset({"V3", "V4", "V5", "V6", "V7"})
+def hierarchy(head: str, above: list[str], beside: list[str]) -> str:
+    """V7's text: the head, an empty line, then a line of parents and a line of siblings where there are any."""
+    tail = "\n".join([f"Parents: {' -> '.join(above)}."] * bool(above) + [f"Related types include: {', '.join(beside)}."] * bool(beside))
+    return f"{head}\n\n{tail}" if head and tail else head or tail
+
+
+def _fit_pairs(part: dict[str, Any], budget: Budget, before: str) -> str:
+    return " | ".join(fit_items(part["items"], " | ", budget, before))
+
+
+def _fit_sentences(part: dict[str, Any], budget: Budget, before: str) -> str:
+    return " ".join(fit_items(part["items"], " ", budget, before))
+
+
+def _fit_star(part: dict[str, Any], budget: Budget, before: str) -> str:
+    """Tier order only for entities with many pairs or more than fit."""
+    items = part["items"]
+    turn = len(items) > TRIGGER or not budget.fits(" | ".join(items), before)
+    return " | ".join(fit_items(part["tiered"] if turn else items, " | ", budget, before))
+
+
+def _fit_walks(part: dict[str, Any], budget: Budget, before: str) -> str:
+    return " | ".join(fit_prefix(part["items"], " | ", budget, before)) if len(part["items"]) else part["text"]
+
+
+def _fit_hierarchy(part: dict[str, Any], budget: Budget, before: str) -> str:
+    """Siblings go first, then ancestors from the farthest on; the head stays."""
+    above, beside = list(part["items"]), list(part["siblings"])
+    shorter = [(above, beside), *((above[:n], []) for n in range(len(above), 0, -1))]
+    texts = (hierarchy(part["text"], a, b) for a, b in shorter)
+    return next((t for t in texts if budget.fits(t, before)), part["text"])
+
+
+def _plain_hierarchy() -> Column:
+    up = F.when(F.size("items") > 0, F.concat(F.lit("Parents: "), F.array_join("items", " -> "), F.lit(".")))
+    side = F.when(F.size("siblings") > 0, F.concat(F.lit("Related types include: "), F.array_join("siblings", ", "), F.lit(".")))
+    return F.concat_ws("\n\n", F.nullif(F.col("text"), F.lit("")), F.nullif(F.concat_ws("\n", up, side), F.lit("")))
+
+
+Parts = Callable[..., DataFrame]
+#: Components that are held to a budget: their parts, how they are fitted, and their text without a budget.
+BUDGETED: dict[str, tuple[Parts, Callable[[dict[str, Any], Budget, str], str], Callable[[], Column]]] = {
+    "V3": (v3_parts, _fit_sentences, lambda: F.array_join("items", " ")),
+    "V4": (v4_parts, _fit_star, lambda: F.array_join("items", " | ")),
+    "V5": (v5_parts, _fit_walks, lambda: F.when(F.size("items") == 0, F.col("text")).otherwise(F.array_join("items", " | "))),
+    "V6": (v6_parts, _fit_pairs, lambda: F.array_join("items", " | ")),
+    "V7": (v7_parts, _fit_hierarchy, _plain_hierarchy),
+}
+PLAIN: dict[str, Parts] = {"V1": v1, "V2": v2, "V8": v8}
 STRATEGIES = ("V1", "V2", "V3", "V4", "V5", "V6", "V7", "V8", "V2+V6", "V2+V8", "V2+V7", "V2+V8+V7", "V6+V3", "V4+V6", "V8+V6")
 
 
 def uses_budget(strategy: str, budget: Budget) -> bool:
-    return budget.tokens is not None and bool(BUDGETED & set(strategy.split("+")))
+    return budget.tokens is not None and any(name in BUDGETED for name in strategy.split("+"))
 
 
-def verbalise(strategy: str, triples: DataFrame, entities: DataFrame, budget: Budget = UNCAPPED) -> DataFrame:
-    """graph_id, uri, text. In a composite each component fits what its predecessors left; the whole is cut at last."""
+def verbalise(strategy: str, triples: DataFrame, entities: DataFrame, budget: Budget = UNCAPPED, whole: bool = False) -> DataFrame:
+    """graph_id, uri, text. In a composite each component fits what its predecessors left; the whole is cut at last.
+
+    whole: an added column with the text before that last cut.
+    """
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}; expected one of {STRATEGIES}")
-    parts = strategy.split("+")
-    made = []
-    for k, name in enumerate(parts):
-        options = {"budget": budget} if name in BUDGETED else {}
-        if name == "V7" and "V2" in parts:
-            options["annotation"] = False
-        made.append(COMPONENTS[name](triples, entities, **options).withColumnRenamed("text", f"t{k}"))
-    if len(made) == 1:
-        out = made[0].withColumnRenamed("t0", "text")
-    else:
-        rows = reduce(lambda a, b: a.join(b, KEY), made)
-        texts = [F.col(f"t{k}") for k in range(len(made))]
-        if uses_budget(strategy, budget):
-            text = F.pandas_udf(_compose(parts, budget), "string")(*texts)
+    names_ = strategy.split("+")
+    capped, made = uses_budget(strategy, budget), []
+    for k, name in enumerate(names_):
+        if name in PLAIN:
+            rows = PLAIN[name](triples, entities).select(*KEY, F.struct("text").alias(f"part{k}") if capped else F.col("text").alias(f"part{k}"))
         else:
-            text = join_parts(*texts)
-        out = rows.select(*KEY, text.alias("text"))
-    return out.withColumn("text", cut_text(F.col("text"), budget)) if uses_budget(strategy, budget) else out
-
-
-def _compose(parts: list[str], budget: Budget) -> Callable[..., pd.Series]:
-    """Join component texts; a budgeted one drops separated items from its end while it does not fit its predecessors."""
-    separators = {"V3": " ", "V4": " | ", "V5": " | ", "V6": " | ", "V7": "\n"}
-
-    def run(*columns: pd.Series) -> pd.Series:
-        out = []
-        for texts in zip(*columns, strict=True):
-            before = ""
-            for name, text in zip(parts, texts, strict=True):
-                text = text or ""
-                if name in BUDGETED:
-                    items = text.split(separators[name])
-                    while items and not budget.fits(separators[name].join(items), before):
-                        del items[-1]
-                    text = separators[name].join(items)
-                before = joined(before, text)
-            out.append(before)
-        return pd.Series(out)
-
+            parts, _, plain = BUDGETED[name]
+            rows = parts(triples, entities, annotation="V2" not in names_) if name == "V7" else parts(triples, entities)
+            rows = rows.select(*KEY, (F.struct(*[c for c in rows.columns if c not in KEY]) if capped else plain()).alias(f"part{k}"))
+        made.append(rows)
+    rows = reduce(lambda a, b: a.join(b, KEY), made)
+    columns = [F.col(f"part{k}") for k in range(len(made))]
+    if not capped:
+        text = columns[0] if len(columns) == 1 else join_parts(*columns)
+        return rows.select(*KEY, text.alias("text"), *([text.alias("whole")] if whole else []))
+    rows = rows.select(*KEY, F.pandas_udf(_fitted(names_, budget), "string")(F.struct(*columns)).alias("whole"))
+    return rows.select(*KEY, cut_text(F.col("whole"), budget).alias("text"), *(["whole"] if whole else []))
+
+
+def _fitted(names_: list[str], budget: Budget) -> Callable[[pd.DataFrame], pd.Series]:
+    """The text of each row of component parts, each component fitted after the ones before it."""
+
+    def text_of(name: str, part: dict[str, Any], before: str) -> str:
+        return BUDGETED[name][1](part, budget, before) if name in BUDGETED else part["text"] or ""
+
+    def run(rows: pd.DataFrame) -> pd.Series:
+        def one(parts: tuple) -> str:
+            texts = [text_of(names_[0], parts[0], "")]
+            for name, part in zip(names_[1:], parts[1:], strict=True):
+                texts.append(text_of(name, part, joined(*texts)))
+            return texts[0] if len(texts) == 1 else joined(*texts)
+
+        return pd.Series([one(x) for x in rows.itertuples(index=False, name=None)], dtype=object)
+
+    run.__annotations__ = {"rows": pd.DataFrame, "return": pd.Series}
     return run

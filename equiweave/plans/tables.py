@@ -36,13 +36,10 @@ tgt AS (SELECT 'part/' || p_partkey AS uri, p_name AS label FROM part WHERE p_pa
 
 def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     def rows(table: DataFrame, base: int, key: str, s: Column, *facts: tuple) -> list[DataFrame]:
-        out = []
-        for k, (p, o, kind, lang, dtype) in enumerate(facts):
-            out.append(table.select(
-                F.lit("g").alias("graph_id"), (F.lit(base) + F.col(key).cast("bigint") * 10 + k).alias("ord"), s.alias("s"), F.lit("uri").alias("s_kind"), F.lit(p).alias("p"),
-                o.alias("o"), F.lit(kind).alias("o_kind"), lang.cast("string").alias("o_lang"), dtype.cast("string").alias("o_dtype"),
-            ))
-        return out
+        """One scan of a table; each row is exploded into its facts."""
+        made = F.array(*[F.struct(F.lit(p).alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"), lang.cast("string").alias("o_lang"), dtype.cast("string").alias("o_dtype")) for p, o, kind, lang, dtype in facts])
+        each = table.select((F.lit(base) + F.col(key).cast("bigint") * 10).alias("first"), s.alias("s"), F.posexplode(made).alias("k", "x"))
+        return [each.select(F.lit("g").alias("graph_id"), (F.col("first") + F.col("k")).alias("ord"), "s", F.lit("uri").alias("s_kind"), "x.p", "x.o", "x.o_kind", "x.o_lang", "x.o_dtype")]
 
     null = F.lit(None)
     k = F.col("p_partkey")
