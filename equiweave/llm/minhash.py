@@ -11,10 +11,10 @@ each coordinate; (2) equal digests are one class, named by its smallest doc_id,
 paired; (3) classes that share a band key are a bucket; each is compared exactly with the smallest
 class of every bucket it is in, which joins groups of copies in one pass; (4) only buckets that then
 still hold classes of different components go on, each set of members once: their signatures are
-compared in blocks, and members stay that agree with one of another component in LEAST_SHARE of the
-coordinates at least; (5) those are cut into blocks and every pair of blocks of a bucket compares
+compared in blocks, and members of different components that agree in LEAST_SHARE of the coordinates
+at least are near; (5) what near pairs connect is cut into blocks, and every pair of blocks compares
 full shingle sets exactly, as one matrix product, giving a spanning set of confirmed links; (6)
-components of the links of (3) and (5). Candidates are never closed transitively.
+components of the links of (3) and (5). Sharing a band key alone never puts texts into one group.
 
 At similarity 0.75 a pair shares no band with probability (1 - 0.75**ROWS)**BANDS = 1.3e-6, and its
 signatures agree in fewer than LEAST_SHARE of 250 coordinates, 4.4 deviations below 0.75, with 5e-6.
@@ -196,33 +196,41 @@ def block_pairs(groups: DataFrame, block: int) -> DataFrame:
     return rows.withColumn("side", (F.col("own") > F.col("other")).cast("int")).withColumn("same", F.col("own") == F.col("other")).drop("n", "own", "other")
 
 
-def _close(table: pa.Table, least: float) -> pa.Table:
-    """Members of one pair of blocks (component, node, root, hub, signature, side, same) near one of another component; pairs with the hub are settled."""
+def _near(table: pa.Table, least: float) -> pa.Table:
+    """(a, b): what near pairs of different components connect in one pair of blocks, each node with the first it reaches.
+
+    table: node, root, hub, signature, side, same. A pair with the hub has been compared exactly before.
+    """
     order = np.argsort(table["side"].to_numpy(), kind="stable")
     table = table.take(pa.array(order))
     node, root, hub, side = (table[c].to_numpy() for c in ("node", "root", "hub", "side"))
     marks = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint8).reshape(len(node), -1)
     left = len(node) if table["same"][0].as_py() else int((side == 0).sum())
-    right = slice(0, len(node)) if left == len(node) else slice(left, len(node))
-    step, near = max(1, (1 << 24) // max(1, marks.shape[1] * len(node))), np.zeros(len(node), dtype=bool)
-    for a in range(0, left, step):
-        b = min(left, a + step)
-        hit = (marks[a:b, None, :] == marks[None, right, :]).sum(axis=2) >= least * marks.shape[1]
-        hit &= (root[a:b, None] != root[None, right]) & (hub[a:b, None] != node[None, right]) & (hub[None, right] != node[a:b, None])
-        near[a:b] |= hit.any(axis=1)
-        near[right] |= hit.any(axis=0)
-    found = table.filter(pa.array(near))
-    return pa.table({"component": found["component"], "node": found["node"]})
-
-
-def open_groups(members: DataFrame, found: DataFrame, signatures: DataFrame, least: float = LEAST_SHARE, block: int = SIGNATURE_BLOCK) -> DataFrame:
-    """component (a band key) and node: members of buckets that may hold links between components (node, component) not found yet."""
+    right = np.arange(0 if left == len(node) else left, len(node))
+    hit = np.zeros((left, len(right)), dtype=bool)
+    step = max(1, (1 << 22) // max(1, marks.shape[1] * len(right)))
+    for k in range(0, left, step):
+        hit[k : k + step] = (marks[k : min(left, k + step), None, :] == marks[None, right, :]).sum(axis=2) >= least * marks.shape[1]
+    hit &= (root[:left, None] != root[None, right]) & (hub[:left, None] != node[None, right]) & (hub[None, right] != node[:left, None])
+    first = np.arange(len(node))
+    while hit.any():
+        own = np.minimum(first[:left], np.where(hit, first[None, right], len(node)).min(axis=1))
+        other = np.minimum(first[right], np.where(hit, own[:, None], len(node)).min(axis=0))
+        if (own == first[:left]).all() and (other == first[right]).all():
+            break
+        first[:left] = own
+        first[right] = np.minimum(first[right], other)
+    tied = np.flatnonzero(first != np.arange(len(node)))
+    return pa.table({"a": pa.array(node[tied]), "b": pa.array(node[first[tied]])})
+
+
+def near_pairs(members: DataFrame, found: DataFrame, signatures: DataFrame, least: float = LEAST_SHARE, block: int = SIGNATURE_BLOCK) -> DataFrame:
+    """(a, b): classes that near pairs connect, in buckets that may hold links between components (node, component) not found yet."""
     rooted = members.join(found.select("node", F.col("component").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_ = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"))
     once = open_.where("low != high and n > 2").groupBy("n", "who").agg(F.min("key").alias("key")).select("key")
     rows = rooted.join(once, "key").join(signatures, "node").select(F.col("key").alias("component"), "node", "root", "hub", "signature")
-    near = block_pairs(rows, block).groupBy("component", "i", "j").applyInArrow(lambda table: _close(table, least), "component long, node long")
-    return near.distinct()
+    return block_pairs(rows, block).groupBy("component", "i", "j").applyInArrow(lambda table: _near(table, least), "a long, b long")
 
 
 def confirmed_links(texts: DataFrame, groups: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
@@ -247,7 +255,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
     texts = materialize(texts.join(members.select("node").distinct().hint("shuffle_hash"), "node", "left_semi"), "minhash-texts")
     stars = materialize(star_links(texts, members), "minhash-stars", BANDS * most)
-    groups = materialize(open_groups(members, components(stars, "minhash-star"), heads.select("node", "signature")), "minhash-groups", BANDS * most)
+    near = near_pairs(members, components(stars, "minhash-star"), heads.select("node", "signature"))
+    groups = materialize(components(near, "minhash-near"), "minhash-groups", most)
     same = named.join(shared, "doc_id").join(sets, ["d1", "d2"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     joined = components(stars.unionByName(confirmed_links(texts, groups)).unionByName(same), "minhash-links")
     known = sets.join(joined, "node", "left").where("copies > 1 or component is not null")
