@@ -13,7 +13,7 @@ from equiweave.operators import candidates as C
 from equiweave.operators import entities as E
 from equiweave.operators import graph, labels, metrics, population, ranking, reports, selection, stats, verbalise
 from equiweave.plans import tables as T
-from equiweave.plans.tables import PARTS_SQL, RANKED_SQL, RESULTS_SQL, TRIPLES_SQL
+from equiweave.plans.tables import NUMBERED_SQL, PARTS_SQL, RANKED_SQL, RESULTS_SQL, TRIPLES_SQL
 from equiweave.vocabulary import SUBCLASS, SYNONYMS, TYPE
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,29 +92,30 @@ def ngram_jaccard_topk(spark, sf_dir):
     return C.candidates(*T.parts(spark, sf_dir), metric="jaccard")
 
 
-@query(_topk_sql("cosine") + "SELECT DISTINCT t FROM cand")
-def candidate_targets(spark, sf_dir):
-    s, t = T.parts(spark, sf_dir)
-    return C.distinct_targets(C.candidates(s, t), s.select(F.col("uri").alias("s")))
+def _distinct_topk(metric: str) -> str:
+    return _topk_sql(metric).replace(PARTS_SQL, NUMBERED_SQL) + "SELECT s, t, round(score, 9) AS score, rank FROM cand"
 
 
-_PAD_TGT = "few AS (SELECT uri FROM tgt ORDER BY uri LIMIT 7)"
+@query(_distinct_topk("cosine"))
+def ngram_cosine_topk_distinct(spark, sf_dir):
+    return C.candidates(*T.numbered_parts(spark, sf_dir))
 
 
-@query(f"""WITH {PARTS_SQL}, {_GRAMS}, {_PAD_TGT},
-pr AS (SELECT p.uri AS s, q.uri AS t, sum(p.tf * q.tf) AS dot FROM tf p JOIN tf q USING (gram) WHERE p.uri IN (SELECT uri FROM src) AND q.uri IN (SELECT uri FROM few) GROUP BY 1, 2),
-al AS (SELECT src.uri AS s, few.uri AS t, coalesce(dot / (a.norm * b.norm), 0) AS score FROM src CROSS JOIN few LEFT JOIN pr ON pr.s = src.uri AND pr.t = few.uri
-  JOIN nm a ON a.uri = src.uri JOIN nm b ON b.uri = few.uri)
-SELECT s, t, round(score, 9) AS score, CAST(row_number() OVER (PARTITION BY s ORDER BY score DESC, t) AS INTEGER) AS rank FROM al""")
-def ngram_topk_padded(spark, sf_dir):
+@query(_distinct_topk("jaccard"))
+def ngram_jaccard_topk_distinct(spark, sf_dir):
+    return C.candidates(*T.numbered_parts(spark, sf_dir), metric="jaccard")
+
+
+@query(_topk_sql("cosine") + "SELECT DISTINCT t FROM cand")
+def candidate_targets(spark, sf_dir):
     s, t = T.parts(spark, sf_dir)
-    return C.candidates(s, t.orderBy("uri").limit(7), padded=True)
+    return C.distinct_targets(C.candidates(s, t), s.select(F.col("uri").alias("s")))
 
 
 @query(_topk_sql("cosine") + """, short AS (SELECT src.uri AS s, count(cand.t) AS n FROM src LEFT JOIN cand ON cand.s = src.uri GROUP BY 1 HAVING count(cand.t) < 20),
 more AS (SELECT short.s, tgt.uri AS t, n + row_number() OVER (PARTITION BY short.s ORDER BY tgt.uri) AS rank FROM short CROSS JOIN tgt LEFT JOIN cand ON cand.s = short.s AND cand.t = tgt.uri WHERE cand.t IS NULL)
 SELECT s, t, round(score, 9) AS score, rank FROM cand UNION ALL SELECT s, t, CAST(0 AS DOUBLE), CAST(rank AS INTEGER) FROM more WHERE rank <= 20""")
-def ngram_topk_padded_all(spark, sf_dir):
+def ngram_topk_padded(spark, sf_dir):
     return C.candidates(*T.parts(spark, sf_dir), padded=True)
 
 

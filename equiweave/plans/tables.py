@@ -34,6 +34,18 @@ tgt AS (SELECT 'part/' || p_partkey AS uri, p_name AS label FROM part WHERE p_pa
 """
 
 
+def numbered_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """As parts, with the key in the label, so that no two labels are the same; every fourth part is a source."""
+    rows = read(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("part/"), F.col("p_partkey").cast("string")).alias("uri"), F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string")).alias("label"))
+    return rows.where("p_partkey % 4 = 0").select("uri", "label"), rows.where("p_partkey % 4 <> 0").select("uri", "label")
+
+
+NUMBERED_SQL = """
+src AS (SELECT 'part/' || p_partkey AS uri, p_name || ' ' || p_partkey AS label FROM part WHERE p_partkey % 4 = 0),
+tgt AS (SELECT 'part/' || p_partkey AS uri, p_name || ' ' || p_partkey AS label FROM part WHERE p_partkey % 4 <> 0)
+"""
+
+
 def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     def rows(table: DataFrame, base: int, key: str, s: Column, *facts: tuple) -> list[DataFrame]:
         """One scan of a table; each row is exploded into its facts."""
