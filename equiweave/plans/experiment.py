@@ -26,6 +26,7 @@ from equiweave.operators.labels import label_b
 from equiweave.operators.verbalise import verbalise
 from equiweave.schema import PROTOCOL
 from equiweave.sources.datasets import Pair
+from equiweave.sources.results import write_results
 
 log = logging.getLogger(__name__)
 #: Text and role (source or candidate) to a vector column.
@@ -140,9 +141,10 @@ def run(spark: SparkSession, pairs: list[Pair], encode: Encoder, ids: list[str]
             for c in wanted:
                 rows = result_rows(measured, pair, c)
                 if out:
-                    rows.write.mode("append").partitionBy("condition_id", "dataset_id").json(out)
+                    write_results(rows, out)
                 else:
                     rows.show(truncate=False)
+            measured.unpersist()
         except Exception as error:  # one pair's failure must not lose the others
             log.exception("pair %s failed", pair.name)
             failures.append((pair.name, str(error)))
