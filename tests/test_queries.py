@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from oracle import compare, rows_of
 
-from equiweave.plans import registry
+from equiweave.plans import file_queries, registry, report_queries  # noqa: F401  they register on import
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
