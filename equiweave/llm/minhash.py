@@ -10,9 +10,9 @@ Steps: (1) one scan makes set size, a 128-bit set digest, the band keys and a si
 each coordinate; (2) equal digests are one class, named by its smallest doc_id, so copies are never
 paired; (3) classes that share a band key are a bucket; each is compared exactly with the smallest
 class of every bucket it is in, which joins groups of copies in one pass; (4) only buckets that then
-still hold classes of different components go on, each set of members once: their signatures are
-compared in blocks, and members of different components that agree in LEAST_SHARE of the coordinates
-at least are near; (5) what near pairs connect is cut into blocks, and every pair of blocks compares
+still hold classes that those links do not connect within two steps go on, each set of members once:
+their signatures are compared in blocks, and members not so connected that agree in LEAST_SHARE of
+the coordinates at least are near; (5) what near pairs connect is cut into blocks, and every pair of blocks compares
 full shingle sets exactly, as one matrix product, giving a spanning set of confirmed links; (6)
 components of the links of (3) and (5). Sharing a band key alone never puts texts into one group.
 
@@ -187,6 +187,13 @@ def star_links(texts: DataFrame, members: DataFrame, percent: int = PERCENT, blo
     return _compared(texts, blocks, percent)
 
 
+def roots(links: DataFrame) -> DataFrame:
+    """(node, component) of links' larger ends: the smallest node within two steps down. What shares one is connected, not the other way round."""
+    up = links.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("other")).groupBy("node").agg(F.min("other").alias("up"))
+    above = up.select(F.col("node").alias("up"), F.col("up").alias("top"))
+    return up.join(above, "up", "left").select("node", F.coalesce("top", "up").alias("component"))
+
+
 def block_pairs(groups: DataFrame, block: int) -> DataFrame:
     """groups (component, node, any others) dealt into blocks, each row once for every block of its component: i <= j, side, same."""
     sized = groups.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
@@ -255,7 +262,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
     texts = materialize(texts.join(members.select("node").distinct().hint("shuffle_hash"), "node", "left_semi"), "minhash-texts")
     stars = materialize(star_links(texts, members), "minhash-stars", BANDS * most)
-    near = near_pairs(members, components(stars, "minhash-star"), heads.select("node", "signature"))
+    near = near_pairs(members, roots(stars), heads.select("node", "signature"))
     groups = materialize(components(near, "minhash-near"), "minhash-groups", most)
     same = named.join(shared, "doc_id").join(sets, ["d1", "d2"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     joined = components(stars.unionByName(confirmed_links(texts, groups)).unionByName(same), "minhash-links")
