@@ -34,6 +34,7 @@ class Model:
         return None if self.budget is None else min(self.budget, self.max_tokens)
 
 
+# Fixed values, which registries of other versions share.
 MODELS: dict[str, Model] = {
     m.key: m
     for m in (
@@ -56,6 +57,7 @@ class Condition:
     group: str
 
 
+# Fixed values, which registries of other versions share.
 CONDITIONS: list[Condition] = [
     Condition("C1", "V1", "M1", ALL, "A"),
     Condition("C2", "V2", "M1", ALL, "A"),
@@ -79,6 +81,7 @@ CONDITIONS: list[Condition] = [
 ]
 
 #: group, condition A, condition B, datasets.
+# Fixed values, which registries of other versions share.
 COMPARISONS: list[tuple[str, str, str, tuple[str, ...]]] = [
     ("A", "C1", "C2", ALL), ("A", "C1", "C17", ("D1", "D2")), ("A", "C2", "C17", ("D1", "D2")),
     ("B", "C3", "C10", ALL), ("B", "C9", "C10", ALL), ("B", "C18", "C10", ALL),
@@ -111,18 +114,21 @@ class Ablation:
 _SHORT = {"ppas": "ppas", "deterministic": "det", "random": "rand", "all": "all", "covered": "cov", "base": "base", "fma_extended": "fmax", "obo_extended": "obox"}
 PRIMARY, STRESS, SEEDS = 420, {"D5": 80, "D1": 48}, range(5)
 #: Controlled policies: label, filter, extended vocabulary or base, order.
+# Fixed values, which registries of other versions share.
 POLICIES = [
     ("P1", "all", False, "deterministic"), ("P2", "all", False, "ppas"), ("P3", "covered", False, "deterministic"), ("P4", "covered", False, "ppas"),
     ("P5", "all", True, "ppas"), ("P6", "covered", True, "deterministic"), ("P7", "covered", True, "ppas"),
 ]
 NON_CORE = tuple(sorted(r for r in ROLES if r != "core"))
 _REMOVED = {"R-pref": "preferred_name", "R-syn": "synonym", "R-def": "definition", "R-id": "identifier", "R-nonEn": "non_english", "R-disj": "disjointness"}
+# Fixed values, which registries of other versions share.
 ARMS: dict[str, tuple[str, ...]] = {
     "A0": (), **{a: (r,) for a, r in _REMOVED.items()}, "A-core": NON_CORE,
     **{f"C+{a}": tuple(r for r in NON_CORE if r != kept) for a, kept in (("pref", "preferred_name"), ("syn", "synonym"), ("def", "definition"), ("id", "identifier"))},
 }
 _D1_ARMS = "A0 R-pref R-syn R-def R-id R-nonEn R-disj A-core".split()
 _D2_ARMS = "A0 R-syn R-def R-id R-disj A-core".split()
+# Fixed values, which registries of other versions share.
 ROLE_MATRIX: dict[str, dict[int | None, list[str]]] = {
     "D1": {None: [*_D1_ARMS, "C+pref", "C+syn", "C+def", "C+id"], 48: _D1_ARMS},
     "D2": {None: [*_D2_ARMS, "C+syn", "C+def"], 48: _D2_ARMS, 24: "A0 R-syn R-def A-core".split()},

@@ -9,7 +9,7 @@ from equiweave import conditions
 from equiweave.functions import budget, text
 from equiweave.functions.hashes import item_set_fingerprint
 from equiweave.operators import entities as E
-from equiweave.operators import graph, labels, metrics, population, ranking, reports, selection, stats, verbalise
+from equiweave.operators import audits, graph, labels, metrics, population, ranking, reports, selection, stats, verbalise
 from equiweave.plans import registry as R
 from equiweave.plans import tables as T
 from equiweave.plans.registry import query
@@ -369,3 +369,154 @@ def condition_registry(spark, sf_dir):
 def predicate_label_table(spark, sf_dir):
     rows = T.triples(spark, sf_dir).where("o_lang is null")
     return labels.predicate_labels(rows).select(F.col("p").alias("uri"), F.col("p_label").alias("label"))
+
+
+# ---------------------------------------------------------------- audits
+
+_LISTED = f"""WITH {RANKED_SQL}, j AS (SELECT f.s, f.t, r.s IS NOT NULL AS listed FROM refs f LEFT JOIN ranked r ON r.s = f.s AND r.t = f.t WHERE split = 'test'),
+p AS (SELECT s, count(*) AS n, count(DISTINCT t) AS k, count(*) FILTER (WHERE listed) AS hits FROM j GROUP BY s),
+c AS (SELECT CAST(sum(n) AS BIGINT) AS n_refs, count(*) AS n_sources, count(*) FILTER (WHERE k > 1) AS n_multi_target, count(*) FILTER (WHERE hits > 0) AS n_gold_listed, CAST(sum(hits) AS BIGINT) AS n_refs_listed FROM p)"""
+
+
+@query(_LISTED + " SELECT 'p' AS pair, *, round(n_gold_listed / n_sources, 9) AS ranking_ceiling, round(n_refs_listed / n_refs, 9) AS candidate_recall, round(n_gold_listed / n_refs, 9) AS f1_recall_ceiling FROM c")
+def candidate_ceilings(spark, sf_dir):
+    return audits.ceilings(T.ranked(spark, sf_dir), R._test_refs(spark, sf_dir))
+
+
+@query(_LISTED + " SELECT 'D' AS dataset, round(n_gold_listed / n_sources, 9) AS ranking_ceiling, round(n_gold_listed / n_refs, 9) AS f1_recall_ceiling FROM c")
+def column_ceilings(spark, sf_dir):
+    return audits.column_ceilings(audits.ceilings(T.ranked(spark, sf_dir), R._test_refs(spark, sf_dir)), spark.createDataFrame([("D", "p")], "dataset string, pair string"))
+
+
+@query(f"WITH {RANKED_SQL} SELECT s, t, rank FROM ranked WHERE s IN (SELECT s FROM refs WHERE split = 'val')")
+def validation_lists(spark, sf_dir):
+    return audits.validation_lists(T.ranked(spark, sf_dir), T.refs(spark, sf_dir)).select("s", "t", "rank")
+
+
+_DENSE = f"""WITH {TRIPLES_SQL}, e AS (SELECT s, bool_or((p = '{TYPE}' AND o LIKE '%owl#Class') OR p = '{SUBCLASS}') AS c,
+count(DISTINCT CASE WHEN p LIKE '%rdf-schema#label' OR p LIKE '%rdf-schema#comment' OR p LIKE '%core#prefLabel' OR p LIKE '%core#altLabel' THEN p END) AS n,
+bool_or(p LIKE '%rdf-schema#label' OR p LIKE '%core#prefLabel') AS l FROM tr GROUP BY s), d AS (SELECT count(*) AS n_entities, avg(n) AS density, avg(CASE WHEN l THEN 1.0 ELSE 0 END) AS label_coverage FROM e WHERE c)"""
+
+
+@query(_DENSE + " SELECT 'g' AS graph_id, n_entities, round(density, 9) AS density, round(label_coverage, 9) AS label_coverage FROM d")
+def annotation_density(spark, sf_dir):
+    return audits.annotation_density(T.triples(spark, sf_dir))
+
+
+@query(_DENSE + f""", {RESULTS_SQL.strip()}, s AS (SELECT dataset_id, max(f1) FILTER (WHERE condition_id = 'AF') AS a, max(f1) FILTER (WHERE condition_id = 'RF') AS b FROM cols GROUP BY 1)
+SELECT dataset_id AS pair, round(density, 9) AS min_density, round(density, 9) AS max_density, round(a, 9) AS score_a, round(b, 9) AS score_b, round(a - b, 9) AS gap FROM s, d WHERE dataset_id <> 'D7'""")
+def sparsity_join(spark, sf_dir):
+    columns = reports.column_means(T.results(spark, sf_dir)).select(F.col("condition_id").alias("condition"), F.col("dataset_id").alias("pair"), F.col("f1").alias("value"))
+    pairs = columns.select("pair", F.lit("g").alias("source"), F.when(F.col("pair") == "D7", "missing").otherwise("g").alias("target")).distinct()
+    return audits.sparsity_rows(pairs, audits.annotation_density(T.triples(spark, sf_dir)), columns, "AF", "RF")
+
+
+@query(f"""WITH {TRIPLES_SQL}, n AS (SELECT regexp_extract(o, '([^/]*)$', 1) AS x, s LIKE '%part#%' AS part FROM tr WHERE o_kind = 'uri')
+SELECT count(DISTINCT x) FILTER (WHERE part) AS source, count(DISTINCT x) FILTER (WHERE NOT part) AS target, (SELECT count(*) FROM (SELECT x FROM n WHERE part INTERSECT SELECT x FROM n WHERE NOT part)) AS shared FROM n""")
+def shared_identifiers(spark, sf_dir):
+    rows = T.triples(spark, sf_dir).withColumn("graph_id", F.when(F.contains("s", F.lit("part#")), "source").otherwise("target"))
+    return audits.shared_identifiers(rows, "source", "target")
+
+
+_EST = "CAST(ceil(len(list_filter(string_split_regex({}, '[\\s\\x0B]+'), lambda x: x <> '')) * 1.3) AS INTEGER)"
+
+
+@query(f"""WITH t AS (SELECT 'E' || (100 * doc_id) || ' ' || text AS x FROM documents WHERE text IS NOT NULL), c AS (SELECT {_EST.format("x")} AS w, {_EST.format("regexp_replace(x, '" + audits.OPAQUE + "', '', 'g')")} AS o, regexp_matches(x, '{audits.OPAQUE}') AS has FROM t)
+SELECT CAST(sum(w) AS BIGINT) AS tokens, CAST(sum(w - o) AS BIGINT) AS id_tokens, round(sum(w - o) / sum(w), 9) AS id_token_share, round(avg(CASE WHEN has THEN 1.0 ELSE 0 END), 9) AS texts_with_id_share FROM c""")
+def opaque_share(spark, sf_dir):
+    rows = T.read(spark, sf_dir, "documents").where("text is not null")
+    return audits.opaque_share(rows.select(F.concat(F.lit("E"), (F.col("doc_id") * 100).cast("string"), F.lit(" "), "text").alias("text")))
+
+
+@query("SELECT CAST(p_size % 3 AS VARCHAR) AS datatype, count(*) AS n FROM part WHERE p_size % 3 > 0 GROUP BY 1")
+def unit_datatypes(spark, sf_dir):
+    rows = T.read(spark, sf_dir, "part")
+    uri = F.when(F.col("p_size") % 3 == 0, "http://www.w3.org/2001/XMLSchema#int").otherwise(F.concat(F.lit("http://ex.org/unit/"), (F.col("p_size") % 3).cast("string")))
+    return audits.unit_datatypes(rows.select(F.lit("lit").alias("o_kind"), F.concat(F.lit('"'), F.col("p_size").cast("string"), F.lit('"^^<'), uri, F.lit(">")).alias("o")))
+
+
+@query(f"""WITH {TRIPLES_SQL}, {R._ENT}, {R._LABEL_C}, {R._STAR}, {R._ITEM_RUN}, i AS (SELECT s, n, p, {_EST.format("text")} AS w FROM it WHERE d = 1), h AS (SELECT s, bool_or(p = '{LABEL}') AS has FROM i GROUP BY s),
+k AS (SELECT s, p, w, row_number() OVER (PARTITION BY s ORDER BY n DESC) AS k FROM i WHERE p NOT LIKE '%#altLabel' AND (s NOT LIKE '%nation%' OR p <> '{LABEL}')),
+o AS (SELECT x.s, (SELECT coalesce(sum(w), 0) FROM k y WHERE y.s = x.s AND y.k < x.k) AS o FROM k x WHERE p = '{LABEL}')
+SELECT (SELECT count(*) FROM h) AS n_entities, (SELECT count(*) FROM h WHERE has) AS n_with_label, count(*) AS n_label_kept, round(count(*) / (SELECT count(*) FROM h WHERE has), 9) AS label_retention,
+quantile_cont(o, 0.5) AS median_label_offset, round(avg(CASE WHEN o = 0 THEN 1.0 ELSE 0 END), 9) AS share_label_first FROM o""")
+def label_retention(spark, sf_dir):
+    rows = R._items(spark, sf_dir).select("graph_id", "uri", "items")
+    gone = lambda x: x["predicate"].endswith("#altLabel") | (F.contains(F.col("uri"), F.lit("nation")) & (x["predicate"] == LABEL))
+    return audits.label_retention(rows, rows.withColumn("items", F.reverse(F.filter("items", lambda x: ~gone(x)))))
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Texts of two runs, which differ for every third document, and their outcomes."""
+    rows = T.read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("unit"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    other = rows.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    return rows, other, rows.select("unit", (F.col("doc_id") % 7 / 7.0).alias("a"), (F.col("doc_id") % 5 / 5.0).alias("b"))
+
+
+_STRATA = "WITH u AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS unit FROM documents), st AS (SELECT 'all' AS stratum, unit, doc_id FROM u UNION ALL SELECT CASE WHEN doc_id % 3 = 0 THEN 'changed' ELSE 'unchanged' END, unit, doc_id FROM u)"
+
+
+@query(_STRATA + " SELECT stratum, unit FROM st")
+def strata(spark, sf_dir):
+    return audits.strata(*_runs(spark, sf_dir))
+
+
+@query(_STRATA + " SELECT stratum, round(avg((doc_id % 5) / 5.0 - (doc_id % 7) / 7.0), 9) AS delta, count(*) AS n, true AS inside FROM st GROUP BY stratum")
+def stratum_contrasts(spark, sf_dir):
+    a, b, units = _runs(spark, sf_dir)
+    rows = audits.stratum_contrasts(units, audits.strata(a, b, units))
+    return rows.select("stratum", "delta", "n", F.col("delta").between(F.col("ci_low"), F.col("ci_high")).alias("inside"))
+
+
+_REGISTERED = "w(comparison, a, b, dataset) AS (VALUES ('x', 'E', 'F', 'D'), ('y', 'E', 'G', 'D'), ('z', 'E', 'F', 'other')), m(metric) AS (VALUES ('mrr'), ('hits_at_1'), ('f1'))"
+
+
+@query(R._UNITS_SQL.replace("WITH ", f"WITH {_REGISTERED}, ", 1) + """, v AS (SELECT c, metric, CASE WHEN metric = 'f1' THEN 2 * sum(c1) / (2 * sum(c1) + sum(c2) + sum(c3)) ELSE sum(c1) / sum(c2) END AS value FROM uv GROUP BY c, metric)
+SELECT comparison, dataset, m.metric, dataset = 'D' AND b = 'F' AS tested, CASE WHEN dataset <> 'D' THEN 'no results of E' WHEN b = 'G' THEN 'no results of G' END AS reason,
+CASE WHEN dataset = 'D' AND b = 'F' THEN round(y.value - x.value, 9) END AS delta, CASE WHEN dataset = 'D' AND b = 'F' THEN true END AS inside FROM w, m JOIN v x ON x.c = 'E' AND x.metric = m.metric JOIN v y ON y.c = 'F' AND y.metric = m.metric""")
+def registered_comparisons(spark, sf_dir):
+    wanted = spark.createDataFrame([("x", "E", "F", "D"), ("y", "E", "G", "D"), ("z", "E", "F", "other")], "comparison string, a string, b string, dataset string")
+    rows = audits.comparison_rows(wanted, R._unit_rows(spark, sf_dir))
+    return rows.select("comparison", "dataset", "metric", "tested", "reason", "delta", F.col("delta").between(F.col("ci_low") - 1e-9, F.col("ci_high") + 1e-9).alias("inside"))
+
+
+@query("SELECT * FROM (VALUES ('F', 'f1', true, false), ('F', 'hits_at_1', true, false), ('F', 'mrr', true, true), ('G', 'f1', false, false), ('G', 'hits_at_1', false, false), ('G', 'mrr', false, false)) x(comparison, metric, tested, adjusted)")
+def against_baseline(spark, sf_dir):
+    """Holm's adjusted p is at least the p it adjusts, at most twice it in a family of two."""
+    wanted = spark.createDataFrame([("E", "D"), ("F", "D"), ("G", "D")], "condition string, dataset string")
+    rows = audits.against_baseline(R._unit_rows(spark, sf_dir), wanted, "E")
+    return rows.select("comparison", "metric", "tested", F.coalesce(F.col("p_adjusted").between(F.col("p_value"), F.col("p_value") * 2), F.lit(False)).alias("adjusted"))
+
+
+@query(f"WITH {RESULTS_SQL} SELECT dataset_id, round(x.f1, 9) AS a, round(y.f1, 9) AS b, round(y.f1 - x.f1, 9) AS delta FROM cols x JOIN cols y USING (dataset_id) WHERE x.condition_id = 'AF' AND y.condition_id = 'RF'")
+def two_conditions(spark, sf_dir):
+    return audits.condition_rows(reports.column_means(T.results(spark, sf_dir)), "AF", "RF", "f1")
+
+
+@query(f"WITH {RESULTS_SQL} SELECT count(*) AS n, count(*) FILTER (WHERE condition_id <> 'AF') AS n_equal, false AS reproduced FROM res")
+def reproduction_check(spark, sf_dir):
+    rows = T.results(spark, sf_dir)
+    again = rows.withColumn("tp", F.when(F.col("condition_id") == "AF", F.col("tp") + 1).otherwise(F.col("tp")))
+    return audits.reproduction(rows, again, ["condition_id", "dataset_id", "pair_name"], ["tp", "hits_at_1"])
+
+
+@query(f"SELECT count(*) AS n, CAST(0 AS BIGINT) AS n_missing, count(*) FILTER (WHERE doc_id % 3 = 0) AS n_different, count(*) FILTER (WHERE {_n('text')} + 2 > 512) AS n_over, false AS passed FROM documents")
+def identity_gate(spark, sf_dir):
+    a, b, _ = _runs(spark, sf_dir)
+    named = lambda t: t.select(F.col("unit").alias("uri"), "text", budget.token_count(F.regexp_replace("text", r"\s+", " ")).alias("n_tokens"))
+    return audits.identity_gate(named(a), named(b), "text", 512)
+
+
+@query(f"""WITH {RESULTS_SQL} SELECT condition_id, dataset_id, pair_name, concat_ws(';', CASE WHEN condition_id = 'AF' THEN 'dirty or unknown tree' END, CASE WHEN dataset_id = 'D2' THEN 'protocol 1' END,
+CASE WHEN dataset_id = 'D1' THEN 'other known pairs' END, CASE WHEN pair_name = 'p1' THEN 'candidate hash differs within the pair' END) AS reasons FROM res""")
+def provenance_flags(spark, sf_dir):
+    rows = T.results(spark, sf_dir).select(
+        "condition_id", "dataset_id", "pair_name", F.when(F.col("condition_id") != "AF", F.lit(False)).alias("git_dirty"), F.when(F.col("dataset_id") == "D2", 1).otherwise(2).alias("evaluation_protocol"),
+        F.lit(0).alias("n_train_refs"), F.when(F.col("pair_name") == "p1", F.col("condition_id")).otherwise(F.lit("x")).alias("candidates_sha256"),
+    )
+    return audits.provenance_flags(rows, {"D1": 5}).withColumn("reasons", F.array_join("reasons", ";"))
+
+
+@query(f"WITH {RESULTS_SQL} SELECT pair_name, count(*) AS n, string_agg(DISTINCT condition_id, ',' ORDER BY condition_id) AS conditions FROM res GROUP BY pair_name")
+def provenance_groups(spark, sf_dir):
+    return audits.provenance_groups(T.results(spark, sf_dir), ["pair_name"])
