@@ -180,9 +180,10 @@ def fit(texts: pa.Array, y: np.ndarray) -> Model:
     index = index_vectors()
     words = word_vectors(texts.filter(pa.array(~last)), index)
     flat, at = utf8(texts)
-    x = np.concatenate([pooled(part, part_at, words, index) for _, _, part, part_at in slices(flat, at, SLICE)]).astype(np.float64)
-    mean, scale = x[~last].mean(0), x[~last].std(0) + 1e-4
-    x = (x - mean) / scale
+    x = np.concatenate([pooled(part, part_at, words, index) for _, _, part, part_at in slices(flat, at, SLICE)])
+    mean, scale = x[~last].mean(0, dtype=np.float64), x[~last].std(0, dtype=np.float64) + 1e-4
+    x -= mean.astype(np.float32)
+    x /= scale.astype(np.float32)
     layers = train(x[~last], y[~last])
     return Model(words.astype(np.float16), mean, scale, layers, temperature(logits(x[last], layers), y[last]))
 
@@ -212,7 +213,11 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     spark = docs.sparkSession
     small_batches(spark)
     learnt = training_sample(docs, labels, sample).toArrow()
-    model = spark.sparkContext.broadcast(fit(learnt.column(0).combine_chunks(), learnt.column(1).to_numpy()))
+    texts, marks = learnt.column(0).combine_chunks(), learnt.column(1).to_numpy()
+    del learnt
+    model = spark.sparkContext.broadcast(fit(texts, marks))
+    del texts
+    release_memory()
 
     @F.arrow_udf("double")
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
