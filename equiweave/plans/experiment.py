@@ -8,12 +8,15 @@ from __future__ import annotations
 
 import logging
 import math
+import platform
+import subprocess
 import zlib
 from collections.abc import Callable
 from datetime import UTC, datetime
+from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from equiweave.conditions import BASELINE, CONDITIONS, MODELS, Condition
@@ -26,13 +29,25 @@ from equiweave.operators.labels import label_b
 from equiweave.operators.verbalise import verbalise
 from equiweave.schema import PROTOCOL
 from equiweave.sources.datasets import Pair
-from equiweave.sources.results import write_results
+from equiweave.sources.results import stored_keys, write_results
 
 log = logging.getLogger(__name__)
 #: Text and role (source or candidate) to a vector column.
 Encoder = Callable[[DataFrame, str], DataFrame]
 
 
+class Kept(list):
+    """Cached tables of a run, freed together."""
+
+    def keep(self, table: DataFrame) -> DataFrame:
+        self.append(table.persist())
+        return self[-1]
+
+    def free(self) -> None:
+        while self:
+            self.pop().unpersist()
+
+
 def hashing_encoder(width: int = 256) -> Encoder:
     """A stand-in without a model: signed counts of hashed character trigrams, scaled to unit length."""
     def one(text: str) -> list[float]:
@@ -85,67 +100,98 @@ def vectors(rendered: DataFrame, encode: Encoder) -> DataFrame:
     return out[0].unionByName(out[1])
 
 
-def evaluate(pair: Pair, ranked: DataFrame) -> DataFrame:
+def evaluate(pair: Pair, ranked: DataFrame, kept: Kept | None = None) -> DataFrame:
     """condition, pair and the fourteen metrics: tuned on the validation population, scored on the test population."""
-    refs = pair.refs.withColumn("pair", F.lit(pair.name)).persist()
+    keep = (Kept() if kept is None else kept).keep
+    refs = keep(pair.refs.withColumn("pair", F.lit(pair.name)))
     known = refs.where("split = 'train'")
     pairs = ranked.sparkSession.createDataFrame([(pair.name, pair.reference_complete)], "pair string, reference_complete boolean")
     # Each list is read many times below: kept, not made again for every metric.
-    lists = population.judgeable(ranked, refs.where("split <> 'train'"), known, pairs).persist()
-    parts = population.evaluation_slices(population.populations(pair.sources.select(F.lit(pair.name).alias("pair"), F.col("uri").alias("s")), refs)).persist()
+    lists = keep(population.judgeable(ranked, refs.where("split <> 'train'"), known, pairs))
+    parts = keep(population.evaluation_slices(population.populations(pair.sources.select(F.lit(pair.name).alias("pair"), F.col("uri").alias("s")), refs)))
     own = {p: population.reranked(population.restrict(lists, parts.where(F.col("part") == p))) for p in ("val", "test")}
-    own = {p: rows.persist() for p, rows in own.items()}
+    own = {p: keep(rows) for p, rows in own.items()}
     names = ranked.select("condition", "pair").distinct()
     gold = {p: refs.where(F.col("split") == p).select("pair", "s", "t").join(names, "pair").select("condition", "pair", "s", "t") for p in ("val", "test")}
-    tuned = metrics.tune_threshold(own["val"], gold["val"]).persist()
+    tuned = keep(metrics.tune_threshold(own["val"], gold["val"]))
     return metrics.all_metrics(own["test"], gold["test"], metrics.resolve_threshold(tuned, gold["test"].select("condition", "pair").distinct()))
 
 
-def run_pair(pair: Pair, conditions: list[Condition], encode: Encoder, whole: Counter = count_input, piece: Counter = count_words) -> DataFrame:
+def run_pair(pair: Pair, conditions: list[Condition], encode: Encoder, whole: Counter = count_input, piece: Counter = count_words, kept: Kept | None = None) -> DataFrame:
     """Metrics of the conditions on one pair."""
-    found = stage_one(pair).persist()
+    kept = Kept() if kept is None else kept
+    found = kept.keep(stage_one(pair))
     lists = None
     for c in conditions:
         listed = found.select(F.lit(c.id).alias("condition"), F.lit(pair.name).alias("pair"), "s", "t")
         one = ranking.rerank(listed, vectors(texts(pair, c, found, whole, piece), encode))
         lists = one if lists is None else lists.unionByName(one)
-    return evaluate(pair, lists.persist())
+    return evaluate(pair, kept.keep(lists), kept)
 
 
-def run_baseline(pair: Pair) -> DataFrame:
+def run_baseline(pair: Pair, kept: Kept | None = None) -> DataFrame:
     """Metrics of the lexical order itself, with its candidate recall."""
-    found = stage_one(pair).persist()
+    kept = Kept() if kept is None else kept
+    found = kept.keep(stage_one(pair))
     ranked = found.select(F.lit(BASELINE).alias("condition"), F.lit(pair.name).alias("pair"), "s", "t", "score", "rank")
     recall = recall_at(found, pair.refs.where("split = 'test'").select("s", "t")).select(F.col("recall").alias("candidate_recall_at_20"))
-    return evaluate(pair, ranked).crossJoin(recall)  # one row
+    return evaluate(pair, ranked, kept).crossJoin(recall)  # one row
+
 
+def provenance(spark: SparkSession) -> Column:
+    """How results were made: versions, the commit of this code and whether it was changed, and the time in UTC."""
+    def git(*words: str) -> str | None:
+        made = subprocess.run(["git", *words], cwd=Path(__file__).parent, capture_output=True, text=True)
+        return made.stdout.strip() if made.returncode == 0 else None
 
-def result_rows(measured: DataFrame, pair: Pair, condition: Condition) -> DataFrame:
-    """Result records as they are stored."""
-    names = "f1 precision recall threshold mrr hits_at_1 hits_at_5 hits_at_10 recall_at_1 recall_at_5 recall_at_10".split()
-    return measured.where(F.col("condition") == condition.id).select(
-        F.lit(condition.id).alias("condition_id"), F.lit(pair.dataset).alias("dataset_id"), F.lit(pair.name).alias("pair_name"), F.lit(condition.strategy).alias("strategy"),
-        F.lit(condition.model).alias("model_key"), F.lit(MODELS[condition.model].name).alias("model_id"), F.lit(MODELS[condition.model].tokens).cast("int").alias("token_budget"),
-        F.struct(*names).alias("metrics"), F.struct("tp", "fp", "fn").alias("counts"), F.lit(PROTOCOL).alias("evaluation_protocol"),
-        F.lit(datetime.now(UTC).isoformat(timespec="seconds")).alias("run_timestamp"),
+    changed = git("status", "--porcelain")
+    fields = {
+        "run_timestamp": datetime.now(UTC).isoformat(timespec="seconds"), "git_commit": git("rev-parse", "HEAD"), "git_dirty": None if changed is None else bool(changed),
+        "python": platform.python_version(), "spark": spark.version,
+    }
+    return F.struct(*[F.lit(v).cast("boolean" if k == "git_dirty" else "string").alias(k) for k, v in fields.items()])
+
+
+NAMES = "f1 precision recall threshold mrr hits_at_1 hits_at_5 hits_at_10 recall_at_1 recall_at_5 recall_at_10".split()
+
+
+def result_rows(measured: DataFrame, pair: Pair, condition: Condition | None) -> DataFrame:
+    """Result records as they are stored; no condition is the lexical baseline, which has no model."""
+    name = condition.id if condition else BASELINE
+    model = MODELS[condition.model] if condition else None
+    text = {"strategy": condition.strategy if condition else None, "model_key": condition.model if condition else None, "model_id": model.name if model else None}
+    return measured.where(F.col("condition") == name).select(
+        F.lit(name).alias("condition_id"), F.lit(pair.dataset).alias("dataset_id"), F.lit(pair.name).alias("pair_name"), *[F.lit(v).cast("string").alias(k) for k, v in text.items()],
+        F.lit(model.tokens if model else None).cast("int").alias("token_budget"), F.struct(*NAMES).alias("metrics"), F.struct("tp", "fp", "fn").alias("counts"),
+        F.lit(PROTOCOL).alias("evaluation_protocol"), provenance(measured.sparkSession).alias("provenance"), *([] if condition else ["candidate_recall_at_20"]),
     )
 
 
 def run(spark: SparkSession, pairs: list[Pair], encode: Encoder, ids: list[str] | None = None, out: str | None = None) -> list[tuple[str, str]]:
-    """Run registered conditions on pairs, write results, and return the failures as (pair, message)."""
+    """Run registered conditions (and the baseline, if `ids` is not given or names it) on pairs; the failures as (pair, message).
+
+    Results go to the folder `out`; what has a result there is neither run nor written again.
+    """
+    done = {tuple(r) for r in stored_keys(spark, out).collect()} if out else set()  # at most conditions x pairs
     failures = []
     for pair in pairs:
-        wanted = [c for c in CONDITIONS if (ids is None or c.id in ids) and pair.dataset.split("_")[0] in c.datasets]
+        todo: list[Condition | None] = [c for c in CONDITIONS if (ids is None or c.id in ids) and pair.dataset.split("_")[0] in c.datasets]
+        if ids is None or BASELINE in ids:
+            todo.append(None)
+        todo = [c for c in todo if (c.id if c else BASELINE, pair.dataset, pair.name) not in done]
+        kept = Kept()
         try:
-            measured = run_pair(pair, wanted, encode).persist()
-            for c in wanted:
-                rows = result_rows(measured, pair, c)
+            models = [c for c in todo if c]
+            measured = kept.keep(run_pair(pair, models, encode, kept=kept)) if models else None
+            for c in todo:
+                rows = result_rows(measured, pair, c) if c else result_rows(run_baseline(pair, kept), pair, None)
                 if out:
                     write_results(rows, out)
                 else:
                     rows.show(truncate=False)
-            measured.unpersist()
         except Exception as error:  # one pair's failure must not lose the others
             log.exception("pair %s failed", pair.name)
             failures.append((pair.name, str(error)))
+        finally:
+            kept.free()
     return failures

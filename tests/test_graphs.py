@@ -273,6 +273,15 @@ def test_a_pair_runs_end_to_end(spark, folder):
         found = experiment.stage_one(pair)
         rendered = experiment.texts(pair, conditions.CONDITIONS[0], found)
         assert rendered.where("role = 'source'").count() == 10 and "left heart" in {r.text for r in rendered.collect()}
+        out = f"{folder}/runs"
+        ids = [conditions.BASELINE]
+        for _ in range(2):  # the second time finds everything done
+            assert experiment.run(spark, [pair], experiment.hashing_encoder(), ids, out) == []
+        stored = {r.condition_id: r for r in results.read_results(spark, out).collect()}
+        assert sorted(stored) == sorted(ids) and stored[conditions.BASELINE].metrics.mrr == 1.0 and stored[conditions.BASELINE].model_key is None
+        raw = spark.read.option("recursiveFileLookup", True).json(out)
+        assert raw.count() == 1 and raw.where("provenance.spark is not null and provenance.run_timestamp is not null").count() == 1
+        assert raw.where("candidate_recall_at_20 = 1.0").count() == 1
         with pytest.raises(rdf.DataError):
             datasets.load(spark, "D9")
         with pytest.raises(rdf.DataError):
