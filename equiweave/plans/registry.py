@@ -267,7 +267,12 @@ def population_assign(spark, sf_dir):
     return rows.withColumn("slice", F.when(F.col("slice").startswith("unmatched"), "unmatched").otherwise(F.col("slice")))
 
 
-@query()
+#: crc32 of an ASCII string s, bit by bit.
+_CRC = """xor(list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(range(1, len(s) + 1), lambda i: CAST(ascii(substr(s, i, 1)) AS BIGINT)),
+lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: xor(x >> 1, CAST(3988292384 AS BIGINT) * (x & 1)))), CAST(4294967295 AS BIGINT))"""
+
+
+@query(f"WITH d AS (SELECT DISTINCT 'v' || vec_id AS s FROM embeddings WHERE vec_id % 5 = 0) SELECT s, round({_CRC} / 4294967296.0, 9) AS draw FROM d")
 def population_draws(spark, sf_dir):
     return T.vectors(spark, sf_dir)[0].select("s", draw(F.col("s")).alias("draw"))
 
@@ -499,7 +504,7 @@ def relational_signature(spark, sf_dir):
 @query()
 def random_walks(spark, sf_dir):
     t, e = _kinds(spark, sf_dir)
-    return graph.walks(t, e.where("entity_type = 'instance'")).groupBy("uri", "walk").agg(F.count("*").alias("hops"))
+    return graph.walks(t, e).select("uri", "walk", "hop", "p", "o")
 
 
 _register("v5_text", "V5", None)
@@ -567,7 +572,7 @@ def selection_accounting(spark, sf_dir):
 def selection_policies(spark, sf_dir):
     rows = _items(spark, sf_dir)
     made = [selection.select(rows, mode, 16, 0 if mode == "random" else None) for mode in ("ppas", "deterministic", "random")]
-    return made[0].unionByName(made[1]).unionByName(made[2]).groupBy("order_mode", "truncated").agg(F.count("*").alias("n"), F.max("n_tokens").alias("most"))
+    return made[0].unionByName(made[1]).unionByName(made[2]).select("uri", "order_mode", "text", "n_tokens", "truncated")
 
 
 # ---------------------------------------------------------------- results, tests, reports
@@ -703,7 +708,7 @@ def unit_align(spark, sf_dir):
 
 @query()
 def bootstrap_tests(spark, sf_dir):
-    return stats.paired_tests(_aligned(spark, sf_dir), replicates=1_000)
+    return stats.paired_tests(_aligned(spark, sf_dir))
 
 
 @query(f"""WITH {RANKED_SQL}, d AS (SELECT DISTINCT s, t FROM refs), k AS (SELECT count(*) OVER (PARTITION BY s) > 1 AS o, count(*) OVER (PARTITION BY t) > 1 AS i FROM d)

@@ -132,6 +132,14 @@ def cost_rendering(spark, sf_dir):
     return stars.select(F.col("s").alias("uri"), "n", labels.cost_text(stars).alias("text"))
 
 
+_CHOSEN = f"{_RECURSIVE}, {R._ITEM_RUN}, {_NONE}, io AS (SELECT s, row_number() OVER (PARTITION BY s ORDER BY n) AS i, text FROM it WHERE d = 1), {_greedy('a', 'io', 'e0', 1, 16)}"
+
+
+@query(_CHOSEN + f", c AS (SELECT s, sum({_n('text')}) + count(*) + 1 > 16 AS truncated FROM io GROUP BY s) SELECT a.s AS uri, text, CAST({_n('text')} + 2 AS INTEGER) AS n_tokens, truncated FROM a JOIN c USING (s)")
+def selection_deterministic(spark, sf_dir):
+    return selection.select(R._items(spark, sf_dir), "deterministic", 16).select("uri", "text", "n_tokens", "truncated")
+
+
 @query(f"""WITH {TRIPLES_SQL}, {R._ENT}, {R._LABEL_C}, {R._STAR}, {R._ITEM_RUN}, b AS (SELECT s, string_agg(text, ' | ' ORDER BY n) FILTER (WHERE k2 % 2 = 1) AS text FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY n) AS k2 FROM it WHERE d = 1) GROUP BY s) SELECT s AS uri, text FROM b""")
 def join_items(spark, sf_dir):
     rows = R._items(spark, sf_dir)
