@@ -10,8 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from equiweave.functions.text import or_else
-from equiweave.operators.labels import label_c, label_or_local
+from equiweave.operators.labels import labelled
 from equiweave.vocabulary import EXCLUDED, PARENTS, SAME_AS, TYPE, expand
 
 WALKS, HOPS, SEED = 10, 4, 42
@@ -57,7 +56,7 @@ def siblings(triples: DataFrame, entities: DataFrame, most: int = SIBLINGS) -> D
         first = first_parents(triples, predicate)
         children = triples.where((F.col("p") == predicate) & (F.col("o_kind") == "uri") & (F.col("s_kind") == "uri"))
         children = children.select("graph_id", F.col("o").alias("parent"), F.col("s").alias("uri")).distinct()
-        named = children.join(label_or_local(triples, children.select("graph_id", "uri").distinct()), ["graph_id", "uri"])
+        named = labelled(triples, children, "uri")
         order = Window.partitionBy("graph_id", "parent").orderBy("label", "uri")
         few = named.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most + 1)
         lists = few.groupBy("graph_id", "parent").agg(F.array_sort(F.collect_list(F.struct("k", "label", "uri"))).alias("run"))
@@ -81,8 +80,7 @@ def signatures(triples: DataFrame) -> DataFrame:
     edges = kept.select("graph_id", F.col("s").alias("uri"), "p", F.lit("out").alias("way")).union(
         kept.where("o_kind <> 'lit'").select("graph_id", F.col("o").alias("uri"), "p", F.lit("in").alias("way"))
     ).distinct()
-    names = label_or_local(triples, edges.select("graph_id", F.col("p").alias("uri")).distinct()).select("graph_id", F.col("uri").alias("p"), F.lower("label").alias("label"))
-    named = edges.join(names, ["graph_id", "p"])
+    named = labelled(triples, edges, "p").withColumn("label", F.lower("label"))
     def labels(way: str) -> Column:
         return F.array_sort(F.collect_set(F.when(F.col("way") == way, F.col("label"))))
 
@@ -92,8 +90,7 @@ def signatures(triples: DataFrame) -> DataFrame:
 def schema_labels(triples: DataFrame, predicate: str) -> DataFrame:
     """graph_id, uri, labels: sorted labels of the named objects of a predicate, joined with commas."""
     rows = triples.where((F.col("p") == predicate) & (F.col("o_kind") == "uri")).select("graph_id", F.col("s").alias("uri"), "o").distinct()
-    names = label_or_local(triples, rows.select("graph_id", F.col("o").alias("uri")).distinct()).select("graph_id", F.col("uri").alias("o"), "label")
-    return rows.join(names, ["graph_id", "o"]).groupBy("graph_id", "uri").agg(F.array_join(F.array_sort(F.collect_list("label")), ", ").alias("labels"))
+    return labelled(triples, rows, "o").groupBy("graph_id", "uri").agg(F.array_join(F.array_sort(F.collect_list("label")), ", ").alias("labels"))
 
 
 def first_comments(triples: DataFrame) -> DataFrame:
@@ -144,19 +141,9 @@ def walks(triples: DataFrame, entities: DataFrame, n_walks: int = WALKS, hops: i
 
 def walk_texts(triples: DataFrame, walked: DataFrame) -> DataFrame:
     """graph_id, uri, walk, text `A [p] B [q] C`."""
-    uses = walked.select("graph_id", F.col("uri")).union(walked.select("graph_id", "p")).union(walked.select("graph_id", "o")).distinct()
-    names = label_or_local(triples, uses)
-    def named(column: str) -> DataFrame:
-        return names.select("graph_id", F.col("uri").alias(column), F.col("label").alias(f"{column}_label"))
-
-    rows = walked.join(named("uri"), ["graph_id", "uri"]).join(named("p"), ["graph_id", "p"]).join(named("o"), ["graph_id", "o"])
+    rows = walked
+    for column in ("uri", "p", "o"):
+        rows = labelled(triples, rows, column, f"{column}_label")
     run = F.array_sort(F.collect_list(F.struct("hop", F.concat(F.lit("["), "p_label", F.lit("] "), "o_label").alias("t"))))
     return rows.groupBy("graph_id", "uri", "walk").agg(F.concat_ws(" ", F.first("uri_label"), F.array_join(F.transform(run, lambda x: x["t"]), " ")).alias("text"))
 
-
-def named_or(triples: DataFrame, rows: DataFrame, column: str) -> DataFrame:
-    """rows with `column` replaced by its label C or local name."""
-    from equiweave.functions.text import local_name_c
-
-    names = label_c(triples).select("graph_id", F.col("uri").alias(column), F.col("label").alias("_label"))
-    return rows.join(names, ["graph_id", column], "left").withColumn(column, or_else(F.col("_label"), local_name_c(F.col(column)))).drop("_label")

@@ -94,6 +94,23 @@ def label_or_local(triples: DataFrame, uris: DataFrame) -> DataFrame:
     return uris.join(label_c(triples), ["graph_id", "uri"], "left").select("graph_id", "uri", or_else(F.col("label"), local_name_c(F.col("uri"))).alias("label"))
 
 
+def labels_cd(triples: DataFrame) -> DataFrame:
+    """graph_id, uri, c, d: label C and label D of each entity that has one, in one pass."""
+    rows = _literals(triples, LABELS_ABC).where("o_lang is null or o_lang = 'en'")
+    value, tagged = plain_literal_text(F.col("o"), F.col("o_lang"), F.col("o_dtype")), F.col("o_lang").isNull().cast("int")
+    own = F.col("p").isin(LABELS_D)
+    return rows.groupBy("graph_id", F.col("s").alias("uri")).agg(
+        F.min_by(value, F.struct(tagged, _place(LABELS_ABC), F.col("ord"))).alias("c"),
+        F.min_by(F.when(own, value), F.when(own, F.struct(tagged, _place(LABELS_D), F.col("ord")))).alias("d"),
+    )
+
+
+def labelled(triples: DataFrame, rows: DataFrame, column: str, name: str = "label") -> DataFrame:
+    """rows with label C of the URI in a column, where empty or missing its local name; rows are not read twice for it."""
+    own = label_c(triples).select("graph_id", F.col("uri").alias(column), F.col("label").alias("_label"))
+    return rows.join(own, ["graph_id", column], "left").withColumn(name, or_else(F.col("_label"), local_name_c(F.col(column)))).drop("_label")
+
+
 def _distinct_in_order(rows: DataFrame) -> DataFrame:
     """graph_id, uri, vals of rows (graph_id, uri, k1, k2, k3, value): first occurrences in key order."""
     run = F.array_sort(F.collect_list(F.struct("k1", "k2", "k3", "value")))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from equiweave.functions.budget import Budget, cut_text, fit_items, fit_prefix, joined
 from equiweave.functions.text import join_parts, local_name_c, or_else, plain_literal_text
 from equiweave.operators import graph
-from equiweave.operators.labels import annotation_values, label_c, label_d, label_e, label_or_local, rendered, star
+from equiweave.operators.labels import annotation_values, labelled, labels_cd, predicate_labels, rendered, star
 from equiweave.vocabulary import DATATYPE_SENTENCE, DEFINITIONS, OTHER_SENTENCE, SENTENCES, SYNONYMS, TIERS, expand
 
 KEY = ["graph_id", "uri"]
@@ -36,8 +36,7 @@ def check_types(entities: DataFrame) -> DataFrame:
 
 def names(triples: DataFrame, entities: DataFrame) -> DataFrame:
     """graph_id, uri, name: label D, else C, else the local name."""
-    d, c = label_d(triples).withColumnRenamed("label", "d"), label_c(triples).withColumnRenamed("label", "c")
-    rows = entities.select(*KEY).distinct().join(d, KEY, "left").join(c, KEY, "left")
+    rows = entities.select(*KEY).distinct().join(labels_cd(triples), KEY, "left")
     return rows.select(*KEY, or_else(F.col("d"), F.col("c"), local_name_c(F.col("uri"))).alias("name"))
 
 
@@ -87,11 +86,8 @@ def v3_parts(triples: DataFrame, entities: DataFrame) -> DataFrame:
     entities = check_types(entities)
     stars = star(triples).withColumnRenamed("s", "uri").join(entities, KEY)
     stars = stars.where("o_kind <> 'lit' or o_lang is null or o_lang = 'en'")
-    objects = label_or_local(triples, stars.where("o_kind = 'uri'").select("graph_id", F.col("o").alias("uri")).distinct())
-    objects = objects.select("graph_id", F.col("uri").alias("o"), F.lit("uri").alias("o_kind"), F.col("label").alias("o_label"))
-    own = label_or_local(triples, entities.select(*KEY).distinct()).withColumnRenamed("label", "entity")
-    predicates = label_e(triples).withColumnRenamed("label", "p_label")
-    rows = stars.join(objects, ["graph_id", "o", "o_kind"], "left").join(own, KEY).join(predicates, ["graph_id", "p"])
+    rows = labelled(triples, labelled(triples, stars, "uri", "entity"), "o", "o_label")
+    rows = rows.join(predicate_labels(triples), ["graph_id", "p"], "left").withColumn("p_label", F.coalesce("p_label", local_name_c(F.col("p"))))
     value = F.when(F.col("o_kind") == "lit", plain_literal_text(F.col("o"), F.col("o_lang"), F.col("o_dtype"))).otherwise(F.col("o_label"))
 
     def filled(template: str) -> Column:
@@ -124,8 +120,7 @@ def v4_parts(triples: DataFrame, entities: DataFrame) -> DataFrame:
 def v5_parts(triples: DataFrame, entities: DataFrame) -> DataFrame:
     """items: walks; text: the label, for entities without a step."""
     items = _ordered(graph.walk_texts(triples, graph.walks(triples, entities)), "walk")
-    rows = _with_items(entities, items).join(label_or_local(triples, entities.select(*KEY).distinct()), KEY)
-    return rows.select(*KEY, "items", F.col("label").alias("text"))
+    return labelled(triples, _with_items(entities, items), "uri", "text").select(*KEY, "items", "text")
 
 
 def v6_parts(triples: DataFrame, entities: DataFrame) -> DataFrame:
@@ -140,9 +135,8 @@ def v7_parts(triples: DataFrame, entities: DataFrame, annotation: bool = True) -
     entities = check_types(entities)
     none = F.array().cast("array<string>")
     chain = graph.ancestors(triples, entities).select(*KEY, F.posexplode_outer("chain").alias("pos", "o"))
-    labels = label_or_local(triples, chain.where("o is not null").select("graph_id", F.col("o").alias("uri")).distinct())
-    labels = labels.select("graph_id", F.col("uri").alias("o"), F.col("label").alias("text"))
-    rows = _with_items(entities, _ordered(chain.join(labels, ["graph_id", "o"]), "pos")).join(graph.siblings(triples, entities), KEY, "left")
+    above = labelled(triples, chain.where("o is not null"), "o", "text")
+    rows = _with_items(entities, _ordered(above, "pos")).join(graph.siblings(triples, entities), KEY, "left")
     rows = rows.join(v2(triples, entities), KEY, "left") if annotation else rows.withColumn("text", F.lit(""))
     return rows.select(*KEY, "items", F.coalesce("siblings", none).alias("siblings"), F.coalesce("text", F.lit("")).alias("text"))
 
@@ -151,7 +145,7 @@ def v8(triples: DataFrame, entities: DataFrame) -> DataFrame:
     """Outgoing and incoming relationships; predicates get a property header."""
     entities = check_types(entities)
     rows = entities.join(graph.signatures(triples), KEY, "left")
-    rows = rows.join(label_or_local(triples, entities.select(*KEY).distinct()), KEY)
+    rows = labelled(triples, rows, "uri")
     rows = rows.join(graph.first_comments(triples), KEY, "left")
     for name, predicate in (("domain", "rdfs:domain"), ("range", "rdfs:range")):
         rows = rows.join(graph.schema_labels(triples, expand(predicate)).withColumnRenamed("labels", name), KEY, "left")
