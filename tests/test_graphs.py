@@ -268,8 +268,6 @@ def test_a_pair_runs_end_to_end(spark, folder):
     try:
         (pair,) = datasets.load(spark, "D2", str(folder))
         assert {r.split: r["count"] for r in pair.refs.groupBy("split").count().collect()} == {"val": 2, "test": 8}
-        base = experiment.run_baseline(pair).first()
-        assert base.mrr == 1.0 and base.candidate_recall_at_20 == 1.0
         found = experiment.stage_one(pair)
         rendered = experiment.texts(pair, conditions.CONDITIONS[0], found)
         assert rendered.where("role = 'source'").count() == 10 and "left heart" in {r.text for r in rendered.collect()}
